@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook.operators.eventlog import EventLog
 from casebook.operators.rank import range_buckets
-from casebook.operators.sizing import as_list, lookup_join
+from casebook.operators.sizing import as_list, hot_hashes, lookup_join
 
 
 def cut_at(events: DataFrame, decisions: DataFrame, log: EventLog, cut: str = "decision_time", strict: bool = False,
@@ -30,15 +30,35 @@ def before(events: DataFrame, cuts: DataFrame, log: EventLog, cut: str,
 
 
 def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on: str, columns: Sequence[str],
-                  ties: Sequence[str] = (), strict: bool = False) -> DataFrame:
+                  ties: Sequence[str] = (), strict: bool = False, hot: Sequence[int] | None = None) -> DataFrame:
     """Add to each left row ``columns`` of the latest right row of its key at or before its time.
 
-    Rows of the right side at one time are told apart by ``ties`` (default ``columns``), greatest wins. Both sides are
-    first reduced to one row per key and time; those rows are cut into ranges of (key, time), filled forward inside
-    each range, and the last value of a range is handed to the next one. So no key has to fit in one task. Left rows
-    without an earlier right row keep nulls.
+    Rows of the right side at one time are told apart by ``ties`` (default ``columns``), greatest wins. Left rows
+    without an earlier right row keep nulls. Both sides are stacked and filled forward in one window per key; when a
+    key is hot on either side (``hot``, from :func:`hot_hashes`), the time line is cut into ranges instead.
     """
     by, ties = as_list(by), list(ties) or list(columns)
+    if hot is None:
+        hot = hot_hashes(left.select(*by).unionAll(right.select(*by)), by)
+    if hot:
+        return _latest_in_ranges(left, right, by, on, columns, ties, strict)
+    events = right.select(*by, on, F.struct(*columns).alias("_payload"), F.struct(*ties).alias("_tie"),
+                          F.lit(0).alias("_asked"))
+    stacked = left.withColumn("_asked", F.lit(1)).unionByName(events, allowMissingColumns=True)
+    # at one time an event comes before the row that asks, unless only earlier events count
+    side = F.col("_asked").desc() if strict else F.col("_asked").asc()
+    so_far = Window.partitionBy(*by).orderBy(on, side, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = stacked.withColumn("_found", F.last("_payload", ignorenulls=True).over(so_far))
+    return found.filter(F.col("_asked") == 1).select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
+
+
+def _latest_in_ranges(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: Sequence[str],
+                      ties: list[str], strict: bool) -> DataFrame:
+    """The same with no key in one task.
+
+    Both sides are first reduced to one row per key and time; those rows are cut into ranges of (key, time), filled
+    forward inside each range, and the last value of a range is handed to the next one.
+    """
     payload = F.struct(*columns)
     moments = (
         left.select(*by, on).withColumns({"_payload": F.lit(None), "_tie": F.lit(None), "_asked": F.lit(1)})
@@ -49,10 +69,10 @@ def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on
     )
     ranged = range_buckets(moments, [*by, on])
     key = F.struct(*by)
-    last_seen = F.max_by(F.struct(key.alias("key"), "_payload"),
+    # One row per range, at most MAX_RANGES rows. The same columns as the rows below, so that both share one shuffle.
+    last_seen = F.max_by(F.struct(key.alias("key"), "_payload", "_asked"),
                          F.when(F.col("_payload").isNotNull(), F.struct(*by, on)))
-    # One row per range, at most MAX_RANGES rows.
-    ends = ranged.groupBy("_bucket").agg(F.max(key).alias("_key"), last_seen.alias("_seen"), F.max("_asked"))
+    ends = ranged.groupBy("_bucket").agg(F.max(key).alias("_key"), last_seen.alias("_seen"))
     running = Window.partitionBy("_key").orderBy("_bucket")
     ends = ends.withColumn("_last", F.last(F.when(F.col("_seen.key") == F.col("_key"), F.col("_seen._payload")),
                                            ignorenulls=True).over(running))

@@ -97,7 +97,7 @@ LABEL, MEAN, MEMBER = "label_encoded_", "mean_response_rate_", "is_in_escalated_
 def value_statistics(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """Rows ``(column, value, n, mean, positives)``, values as text, for many columns in one pass.
 
-    Written as a checkpoint, since each column's encoder reads its own part of it.
+    Written as a table, since each column's encoder reads its own part of it.
     """
     texts = df.select(F.col(y).alias("_y"), *[F.col(c).cast("string").alias(c) for c in columns])
     long = texts.unpivot(["_y"], list(columns), "column", "value").filter(F.col("value").isNotNull())
@@ -119,10 +119,8 @@ def encode_many(df: DataFrame, y: str, labels: Sequence[str] = (), means: Sequen
     for c in columns:
         table = statistics.filter(F.col("column") == c).select(F.col("value").alias("_value"), "n", "mean", "positives")
         if c in labels:
-            table = rank_distinct(
-                table.select("_value", "mean", "positives", (-F.col("n")).alias("_rarity"), F.lit(1).alias("_one")),
-                ["_rarity", "_value"], "_one",
-            )
+            table = rank_distinct(table.withColumns({"_rarity": -F.col("n"), "_one": F.lit(1)}),
+                                  ["_rarity", "_value"], "_one")
         wanted = {}
         if c in labels:
             wanted[LABEL + c] = F.col("before") + 1

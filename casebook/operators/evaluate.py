@@ -41,20 +41,17 @@ def row_table(scored: DataFrame, q: int = 10) -> DataFrame:
 
 def quantile_table(scored: DataFrame, q: int = 10) -> DataFrame:
     """At most q rows: ``n``, mean predicted and observed, summed observed, population mean and total."""
-    ranked = rank_table(scored, PREDICTED, F.sum(OBSERVED).alias("obs"), F.count(OBSERVED).alias("n_obs"))
+    counted = scored.withColumn("_has_observed", F.col(OBSERVED).isNotNull().cast("int"))
+    ranked = rank_table(counted, PREDICTED, obs=OBSERVED, n_obs="_has_observed")
     bins = ranked.groupBy(quantile(q).alias("quantile")).agg(
         F.sum("cnt").alias("n"),
         (F.sum(F.col(PREDICTED) * F.col("cnt")) / F.sum("cnt")).alias("mean_predicted"),
         F.try_divide(F.sum("obs"), F.sum("n_obs")).alias("mean_observed"),
         F.sum("obs").alias("sum_observed"),
-        F.sum("n_obs").alias("_n_obs"),
-    )
-    all_bins = Window.partitionBy()  # at most q rows
-    return bins.select(
-        "quantile", _mid("quantile", q).alias("quantile_mid"), "n", "mean_predicted", "mean_observed", "sum_observed",
-        F.sum("sum_observed").over(all_bins).alias("total_observed"),
-        F.try_divide(F.sum("sum_observed").over(all_bins), F.sum("_n_obs").over(all_bins)).alias("population_mean"),
+        F.max("total_obs").alias("total_observed"),
+        F.try_divide(F.max("total_obs"), F.max("total_n_obs")).alias("population_mean"),
     )
+    return bins.withColumn("quantile_mid", _mid("quantile", q))
 
 
 def pvo(scored: DataFrame, q: int = 10) -> DataFrame:
@@ -125,8 +122,8 @@ def gini(scored: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """One row: the area under the ROC curve by the rank sum; null when only one class is there."""
-    ranked = rank_table(scored, PREDICTED, F.sum(OBSERVED).alias("positives"))
-    positives = F.sum("positives").cast("double")
+    ranked = rank_table(scored, PREDICTED, positives=OBSERVED)
+    positives = F.max("total_positives").cast("double")
     negatives = F.max("total") - positives
     rank_sum = F.sum(F.col("positives") * (F.col("before") + (F.col("cnt") + 1) / 2))
     return ranked.agg(

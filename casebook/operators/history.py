@@ -6,7 +6,7 @@ form, so a case with a third of all events is reduced before the shuffle. The se
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from casebook.functions.text import column
 from casebook.operators.eventlog import EventLog
 from casebook.operators.asof import latest_before
 from casebook.operators.rank import range_buckets
+from casebook.operators.sizing import hot_hashes
 
 DAY = 86400  # seconds
 
@@ -80,16 +81,21 @@ def last_gap(events: DataFrame, log: EventLog, name: str = "last_gap") -> DataFr
     return two.groupBy(log.key).agg(gap.alias(name))
 
 
-def gap_to_previous(events: DataFrame, log: EventLog) -> DataFrame:
+def gap_to_previous(events: DataFrame, log: EventLog, hot: Sequence[int] | None = None) -> DataFrame:
     """Per case and time: ``n_events`` and ``gap``, the seconds since the time before (null for the first).
 
-    Events at one time follow each other with gap 0, so only the first of them has this gap. A case spread over
-    several ranges takes its first gap in a range from the end of the range before.
+    Events at one time follow each other with gap 0, so only the first of them has this gap. With a hot case (``hot``,
+    from :func:`hot_hashes`) the log is cut into ranges, and the first gap of a range starts at the end of the range
+    before.
     """
+    hot = hot_hashes(events, log.key) if hot is None else hot
     moments = events.groupBy(log.key, log.time).agg(F.count("*").alias("n_events"))
+    gap = F.col(log.time) - F.lag(log.time).over(Window.partitionBy(log.key).orderBy(log.time))
+    if not hot:
+        return moments.withColumn("gap", gap)
     ranged = range_buckets(moments, [log.key, log.time])
-    ends = ranged.groupBy("_bucket").agg(F.max(F.struct(log.key, log.time)).alias("_end"), F.max("n_events"))
-    # One row per range, at most MAX_RANGES rows.
+    # One row per range, at most MAX_RANGES rows. The same columns as the rows below, so that both share one shuffle.
+    ends = ranged.groupBy("_bucket").agg(F.max(F.struct(log.key, log.time, "n_events")).alias("_end"))
     carried = ends.select("_bucket", F.lag("_end").over(Window.orderBy("_bucket")).alias("_carry"))
     inside = Window.partitionBy("_bucket", log.key).orderBy(log.time)
     previous = F.coalesce(
@@ -101,29 +107,45 @@ def gap_to_previous(events: DataFrame, log: EventLog) -> DataFrame:
     )
 
 
-def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None) -> DataFrame:
+def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None,
+                 hot: Sequence[int] | None = None) -> DataFrame:
     """Per case and time, for each category value: count, first and last time of the strictly earlier events.
 
     Columns ``count_<v>``, ``first_time_<v>``, ``last_time_<v>`` and ``total``. Running sums over one row per case and
-    time stand in for a join of every event to all earlier ones. Without ``values`` one job collects them.
+    time stand in for a join of every event to all earlier ones. Without ``values`` one job collects them. With a hot
+    case (``hot``, from :func:`hot_hashes`) the log is cut into ranges that hand their sums on.
     """
-    if values is None:
-        limit = 10_000
-        found = events.select(category).filter(F.col(category).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"{category} has more than {limit} values; pass the ones to count")
-        values = sorted(row[0] for row in found)
+    hot = hot_hashes(events, log.key) if hot is None else hot
+    values = _category_values(events, category) if values is None else values
     time = F.col(log.time)
-    moment = [F.count("*").alias("total")]
-    fold = {"total": F.sum}
+    moment = {"total": (F.count("*"), F.sum)}
     for v in values:
         here = F.col(category) == F.lit(v)
-        moment += [F.count_if(here).alias(f"count_{v}"), F.min(F.when(here, time)).alias(f"first_time_{v}"),
-                   F.max(F.when(here, time)).alias(f"last_time_{v}")]
-        fold |= {f"count_{v}": F.sum, f"first_time_{v}": F.min, f"last_time_{v}": F.max}
-    moments = events.groupBy(log.key, log.time).agg(*moment)
-    ranged = range_buckets(moments, [log.key, log.time])
+        moment[f"count_{v}"] = F.count_if(here), F.sum
+        moment[f"first_time_{v}"] = F.min(F.when(here, time)), F.min
+        moment[f"last_time_{v}"] = F.max(F.when(here, time)), F.max
+    fold = {c: f for c, (_, f) in moment.items()}
+    moments = events.groupBy(log.key, log.time).agg(*[a.alias(c) for c, (a, _) in moment.items()])
+    counts = [c for c, f in fold.items() if f is F.sum]
+    prior = _prior_in_ranges(moments, log, fold) if hot else _prior(moments, log, fold)
+    return prior.fillna(0, counts)
+
+
+def _category_values(events: DataFrame, category: str, limit: int = 10_000) -> list:
+    found = events.select(category).filter(F.col(category).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{category} has more than {limit} values; pass the ones to count")
+    return sorted(row[0] for row in found)
+
 
+def _prior(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable]) -> DataFrame:
+    earlier = Window.partitionBy(log.key).orderBy(log.time).rowsBetween(Window.unboundedPreceding, -1)
+    return moments.select(log.key, log.time, *[f(c).over(earlier).alias(c) for c, f in fold.items()])
+
+
+def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable]) -> DataFrame:
+    """The same with no case in one task."""
+    ranged = range_buckets(moments, [log.key, log.time])
     # Only the last case of a range can go on in the next one: at most MAX_RANGES rows of totals.
     in_range = ranged.groupBy("_bucket", log.key).agg(*[f(c).alias(c) for c, f in fold.items()])
     last_case = F.max(F.struct(log.key, *fold))
@@ -133,25 +155,24 @@ def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
     carried = ends.select(
         "_bucket", F.lag(F.struct(log.key, *fold)).over(Window.orderBy("_bucket")).alias("_carry")
     )
-    earlier = (
-        Window.partitionBy("_bucket", log.key).orderBy(log.time).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy("_bucket", log.key).orderBy(log.time).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col(f"_carry.{log.key}") == F.col(log.key)
 
     def prior(name, f):
         inside, carry = f(name).over(earlier), F.when(same, F.col(f"_carry.{name}"))
         if f is F.sum:
-            return (F.coalesce(inside, F.lit(0)) + F.coalesce(carry, F.lit(0))).alias(name)
-        return (F.least(inside, carry) if f is F.min else F.greatest(inside, carry)).alias(name)
+            return F.coalesce(inside + carry, inside, carry)
+        return F.least(inside, carry) if f is F.min else F.greatest(inside, carry)
 
     return ranged.join(F.broadcast(carried), "_bucket").select(
-        log.key, log.time, *[prior(c, f) for c, f in fold.items()]
+        log.key, log.time, *[prior(c, f).alias(c) for c, f in fold.items()]
     )
 
 
-def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None) -> DataFrame:
+def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None,
+                 hot: Sequence[int] | None = None) -> DataFrame:
     """The same in long form: one row per case, time and category seen before it."""
-    wide = pivot_counts(events, log, category, values)
+    wide = pivot_counts(events, log, category, values, hot)
     if values is None:
         values = [c.removeprefix("count_") for c in wide.columns if c.startswith("count_")]
     per_value = F.array(*[
@@ -162,13 +183,14 @@ def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
     return wide.select(log.key, log.time, F.inline(per_value)).filter(F.col("prior_count") > 0)
 
 
-def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog) -> DataFrame:
+def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog, hot: Sequence[int] | None = None) -> DataFrame:
     """Response rows with the latest :func:`pivot_counts` row of their case at or before their time.
 
     ``seconds_to_closest_milestone_features`` is how long before; a case without one keeps nulls.
     """
     columns = [c for c in counts.columns if c not in (log.key, log.time)]
     dated = counts.withColumn("_counted_at", F.col(log.time))
-    found = latest_before(rows, dated, log.key, log.time, [*columns, "_counted_at"], ties=["_counted_at"])
+    found = latest_before(rows, dated, log.key, log.time, [*columns, "_counted_at"], ["_counted_at"],
+                          hot=hot)
     distance = F.col(log.time) - F.col("_counted_at")
     return found.withColumn("seconds_to_closest_milestone_features", distance).drop("_counted_at")

@@ -41,17 +41,21 @@ def range_buckets(distinct: DataFrame, keys: Sequence[str], name: str = "_bucket
     return distinct.withColumn("_bounds", bounds.scalar()).withColumn(name, bucket).drop("_bounds")
 
 
-def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Add ``before`` (rows with lower keys) and ``total`` to a table with one row per key value."""
+def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str, sums: Sequence[str] = ()) -> DataFrame:
+    """Add ``before`` (rows with lower keys) and ``total`` to a table with one row per key value.
+
+    Each column of ``sums`` also gets ``total_<name>``, its sum over the table.
+    """
     keys = list(keys)
     ranged = range_buckets(distinct, keys)
-    rest = [c for c in distinct.columns if c not in keys and c != weight]
     # One row per range: at most MAX_RANGES rows in the windows without partitions and in the broadcast.
-    sums = ranged.groupBy("_bucket").agg(F.sum(weight).alias("_n"), *[F.max(c).alias(f"_max_{c}") for c in rest])
-    offsets = sums.select(
+    per_range = ranged.groupBy("_bucket").agg(F.sum(weight).alias("_n"), *[F.sum(c).alias(c) for c in sums])
+    everything = Window.partitionBy()
+    offsets = per_range.select(
         "_bucket",
         (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy()).alias("total"),
+        F.sum("_n").over(everything).alias("total"),
+        *[F.sum(c).over(everything).alias(f"total_{c}") for c in sums],
     )
     inside = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
@@ -62,10 +66,14 @@ def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str) -> Data
     )
 
 
-def rank_table(df: DataFrame, keys: str | Sequence[str], *aggregates: Column) -> DataFrame:
-    """One row per distinct key value: ``cnt`` rows, ``before`` lower rows, ``total`` rows, and other aggregates."""
+def rank_table(df: DataFrame, keys: str | Sequence[str], **sums: str) -> DataFrame:
+    """One row per distinct key value: ``cnt`` rows, ``before`` lower rows, ``total`` rows.
+
+    ``sums`` names further columns to add up per key value and, as ``total_<name>``, over the table.
+    """
     keys = as_list(keys)
-    return rank_distinct(df.groupBy(*keys).agg(F.count("*").alias("cnt"), *aggregates), keys, "cnt")
+    added = [F.sum(c).alias(name) for name, c in sums.items()]
+    return rank_distinct(df.groupBy(*keys).agg(F.count("*").alias("cnt"), *added), keys, "cnt", list(sums))
 
 
 def percent_rank(before: Column | None = None, total: Column | None = None) -> Column:

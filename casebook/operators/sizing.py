@@ -9,13 +9,16 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so there are fewer than 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 500
+# A key is hot when it holds more than this share of the rows (so there are fewer than 2 / HOT_SHARE candidates), and
+# more rows than any task takes with ease.
+HOT_SHARE = 1 / 4000
+HOT_ROWS = 100_000
 # A table is broadcast only when it is known to stay below both bounds.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -30,43 +33,53 @@ def as_list(columns: str | Sequence[str]) -> list[str]:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only in local mode with none set."""
-    spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    return df.checkpoint()
+    """Write a table that several later steps read, in the folder the cluster names for checkpoints, and read it back.
+
+    Unlike a checkpoint the parquet table lets each reader scan its own columns only.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only in local mode with none set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="casebook-")
-    context.setCheckpointDir(folder)
+    if folder is not None:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="casebook-")
 
 
-def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows.
+def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = None,
+               rows: int | None = None) -> list[int]:
+    """Hashes of the keys that hold more than ``share`` of the rows and more than ``rows`` rows.
 
     One pass over the key columns. Each of up to 64 groups of input partitions keeps a bounded frequent-items
-    sketch, the sketches are added up, and fewer than ``2 / share`` numbers reach the driver. A key that is listed
-    without being hot costs nothing but its salt, so results never depend on the sketch.
+    sketch, the sketches are added up, and a bounded list reaches the driver. A key that is listed without being hot
+    costs nothing but its salts, so results never depend on the sketch.
     """
-    sketched = (
+    share, rows = share or HOT_SHARE, HOT_ROWS if rows is None else rows
+    keep = math.ceil(2 / share)
+    sketches = (
         df.select(F.xxhash64(*as_list(on)).alias("h"), (F.spark_partition_id() % 64).alias("part"))
         .groupBy("part")
-        .agg(F.count("*").alias("n"), F.expr("approx_top_k(h, 1000, 10000)").alias("top"))
+        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {keep}, {8 * keep})").alias("top"))
+        .select("n", F.filter("top", lambda t: t["count"] > rows / 128).alias("top"))
+        .collect()
     )
-    rows = sketched.select("n", "top").collect()
-    total = sum(row["n"] for row in rows)
+    total = sum(sketch["n"] for sketch in sketches)
     seen: dict[int, int] = {}
-    for row in rows:
-        for item, count in row["top"]:
+    for sketch in sketches:
+        for item, count in sketch["top"]:
             seen[item] = seen.get(item, 0) + count
-    return sorted(h for h, count in seen.items() if count > total * share / 2)
+    return sorted(h for h, count in seen.items() if count > max(total * share, rows) / 2)
 
 
 def small_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from casebook.operators.sizing import shared_folder
 from casebook.sources import files
 from catalog.registry import query, table
 
@@ -14,9 +14,8 @@ CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,
 
 
 def _folder(spark) -> str:
-    """A fresh folder beside the checkpoints, which all executors can reach."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/files-{uuid4().hex}" if shared else tempfile.mkdtemp(prefix="casebook-files-")
+    """A fresh folder that all executors can reach."""
+    return f"{shared_folder(spark)}/files-{uuid4().hex}"
 
 
 @query("SELECT * FROM customer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casebook.operators import asof, history, labels
+from casebook.operators.sizing import materialise
 from catalog.fixtures import (COMMENT_ROWS, COMMENTS, DECISIONS, HISTORY, MILESTONE_ROWS, MILESTONES, POSITIVES,
                               RESPONSE, SCORING, STATUS_HISTORY, WINDOWS, comments, decisions, hot, milestones, scoring,
                               status_history)
@@ -49,7 +50,8 @@ def latest_before(spark, folder):
         F.col("value").alias("error_value"))
     others = rows.filter(F.col("comment_type") != "error").select(
         "reference_id", "seconds_since_case_start", "event_id")
-    return asof.latest_before(others, errors, "reference_id", "seconds_since_case_start", ["error_id", "error_value"])
+    return asof.latest_before(others, errors, "reference_id", "seconds_since_case_start", ["error_id", "error_value"],
+                              hot=hot(spark, folder, "events", "user_id"))
 
 
 @query(with_(COMMENT_ROWS, select="""
@@ -58,7 +60,7 @@ SELECT reference_id, seconds_since_case_start, count(*) AS n_events,
     ORDER BY seconds_since_case_start) AS gap
 FROM comments GROUP BY reference_id, seconds_since_case_start"""))
 def gap_to_previous(spark, folder):
-    return history.gap_to_previous(comments(spark, folder), COMMENTS)
+    return history.gap_to_previous(comments(spark, folder), COMMENTS, hot(spark, folder, "events", "user_id"))
 
 
 _COUNTS = ",\n  ".join(
@@ -73,7 +75,8 @@ FROM (SELECT DISTINCT reference_id, seconds_since_case_start FROM milestones) a
   ON a.reference_id = b.reference_id AND b.seconds_since_case_start < a.seconds_since_case_start
 GROUP BY ALL"""))
 def pivot_counts(spark, folder):
-    return history.pivot_counts(milestones(spark, folder), MILESTONES, "milestone_id", MILESTONE_IDS)
+    return history.pivot_counts(milestones(spark, folder), MILESTONES, "milestone_id", MILESTONE_IDS,
+                                hot(spark, folder, "lineitem", "l_orderkey"))
 
 
 @query(with_(COMMENT_ROWS, select="""
@@ -83,7 +86,7 @@ FROM (SELECT DISTINCT reference_id, seconds_since_case_start FROM comments) a JO
   ON a.reference_id = b.reference_id AND b.seconds_since_case_start < a.seconds_since_case_start
 GROUP BY ALL"""))
 def prior_counts(spark, folder):
-    return history.prior_counts(comments(spark, folder), COMMENTS, "comment_type")
+    return history.prior_counts(comments(spark, folder), COMMENTS, "comment_type", hot=hot(spark, folder, "events", "user_id"))
 
 
 _TOTALS = ", ".join(f"count_{v}" for v in MILESTONE_IDS)
@@ -105,10 +108,11 @@ FROM rows_in r ASOF LEFT JOIN grid g
 def response_history(spark, folder):
     """Prior milestone counts as of every response row."""
     events = status_history(spark, folder)
-    rows = labels.row_response_table(events, scoring(events), HISTORY, RESPONSE).select(
-        "reference_id", "seconds_since_case_start", "in_train")
-    counts = history.pivot_counts(milestones(spark, folder), MILESTONES, "milestone_id", MILESTONE_IDS)
-    return history.as_of_rows(rows, counts, MILESTONES).drop(
+    rows = materialise(labels.row_response_table(events, scoring(events), HISTORY, RESPONSE).select(
+        "reference_id", "seconds_since_case_start", "in_train"))
+    keys = hot(spark, folder, "lineitem", "l_orderkey")
+    counts = history.pivot_counts(milestones(spark, folder), MILESTONES, "milestone_id", MILESTONE_IDS, keys)
+    return history.as_of_rows(rows, counts, MILESTONES, keys).drop(
         *[c for v in MILESTONE_IDS for c in (f"first_time_{v}", f"last_time_{v}")])
 
 
