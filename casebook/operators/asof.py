@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from casebook.operators.sizing import as_list, hot_hashes, lookup_join
 
 
 def cut_at(events: DataFrame, decisions: DataFrame, log: EventLog, cut: str = "decision_time", strict: bool = False,
-           hot: Sequence[int] | None = None) -> DataFrame:
+           hot: Mapping[int, int] | None = None) -> DataFrame:
     """Keep each case's events up to its decision time; the filter becomes part of the join condition.
 
     ``decisions`` has one row per case. Hot cases are salted, see :func:`lookup_join`.
@@ -24,13 +24,13 @@ def cut_at(events: DataFrame, decisions: DataFrame, log: EventLog, cut: str = "d
 
 
 def before(events: DataFrame, cuts: DataFrame, log: EventLog, cut: str,
-           hot: Sequence[int] | None = None) -> DataFrame:
+           hot: Mapping[int, int] | None = None) -> DataFrame:
     """Keep the events strictly before a time per case."""
     return cut_at(events, cuts, log, cut, strict=True, hot=hot)
 
 
 def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on: str, columns: Sequence[str],
-                  ties: Sequence[str] = (), strict: bool = False, hot: Sequence[int] | None = None) -> DataFrame:
+                  ties: Sequence[str] = (), strict: bool = False, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Add to each left row ``columns`` of the latest right row of its key at or before its time.
 
     Rows of the right side at one time are told apart by ``ties`` (default ``columns``), greatest wins. Left rows

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from casebook.operators.clean import equals
 from casebook.operators.rank import rank_distinct
-from casebook.operators.sizing import lookup_join, materialise, small_columns, small_values
+from casebook.operators.sizing import hot_hashes, lookup_join, materialise, small_columns, small_values
 
 
 def _is_small(df: DataFrame, c: str, small: bool | None) -> bool:
@@ -72,9 +72,11 @@ def membership_flags(df: DataFrame, positives: DataFrame, columns: Sequence[str]
                      small: dict[str, bool] | None = None) -> DataFrame:
     """Per column, 1 when the value occurs among ``positives``, else 0."""
     small = small_columns(positives, columns) if small is None else small
+    rows = df
     for c in columns:
         seen = positives.select(c).filter(F.col(c).isNotNull()).distinct().withColumn("_seen", F.lit(1))
-        df = lookup_join(df, seen, c, "left", small=small.get(c, True))
+        is_small = small.get(c, True)
+        df = lookup_join(df, seen, c, "left", {} if is_small else hot_hashes(rows, c), is_small)
         df = df.withColumn(f"{prefix}{c}", F.coalesce("_seen", F.lit(0))).drop("_seen")
     return df
 
@@ -114,6 +116,7 @@ def encode_many(df: DataFrame, y: str, labels: Sequence[str] = (), means: Sequen
     serves all of its encodings.
     """
     columns = list(dict.fromkeys([*labels, *means, *members]))
+    rows = df
     statistics = value_statistics(df, columns, y)
     small = small_values(statistics)
     for c in columns:
@@ -129,8 +132,10 @@ def encode_many(df: DataFrame, y: str, labels: Sequence[str] = (), means: Sequen
         if c in members:
             wanted[MEMBER + c] = (F.col("positives") > 0).cast("int")
         table = table.select("_value", *[v.alias(k) for k, v in wanted.items()])
-        df = df.withColumn("_value", F.col(c).cast("string"))
-        df = lookup_join(df, table, "_value", "left", small=small.get(c, True)).drop("_value")
+        value = F.col(c).cast("string").alias("_value")
+        is_small = small.get(c, True)
+        hot = {} if is_small else hot_hashes(rows.select(value), "_value")
+        df = lookup_join(df.select("*", value), table, "_value", "left", hot, is_small).drop("_value")
         if c in members:
             df = df.withColumn(MEMBER + c, F.coalesce(MEMBER + c, F.lit(0)))
     return df

@@ -81,7 +81,7 @@ def last_gap(events: DataFrame, log: EventLog, name: str = "last_gap") -> DataFr
     return two.groupBy(log.key).agg(gap.alias(name))
 
 
-def gap_to_previous(events: DataFrame, log: EventLog, hot: Sequence[int] | None = None) -> DataFrame:
+def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per case and time: ``n_events`` and ``gap``, the seconds since the time before (null for the first).
 
     Events at one time follow each other with gap 0, so only the first of them has this gap. With a hot case (``hot``,
@@ -108,7 +108,7 @@ def gap_to_previous(events: DataFrame, log: EventLog, hot: Sequence[int] | None
 
 
 def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None,
-                 hot: Sequence[int] | None = None) -> DataFrame:
+                 hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per case and time, for each category value: count, first and last time of the strictly earlier events.
 
     Columns ``count_<v>``, ``first_time_<v>``, ``last_time_<v>`` and ``total``. Running sums over one row per case and
@@ -170,7 +170,7 @@ def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Calla
 
 
 def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None,
-                 hot: Sequence[int] | None = None) -> DataFrame:
+                 hot: Mapping[int, int] | None = None) -> DataFrame:
     """The same in long form: one row per case, time and category seen before it."""
     wide = pivot_counts(events, log, category, values, hot)
     if values is None:
@@ -183,7 +183,7 @@ def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
     return wide.select(log.key, log.time, F.inline(per_value)).filter(F.col("prior_count") > 0)
 
 
-def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog, hot: Sequence[int] | None = None) -> DataFrame:
+def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Response rows with the latest :func:`pivot_counts` row of their case at or before their time.
 
     ``seconds_to_closest_milestone_features`` is how long before; a case without one keeps nulls.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,12 +20,12 @@ def positive_ids(events: DataFrame, log: EventLog, response: str) -> DataFrame:
     return events.filter(F.col(response) > 0).select(log.key).distinct()
 
 
-def exclude_ids(df: DataFrame, ids: DataFrame, key: str, hot: Sequence[int] | None = None) -> DataFrame:
+def exclude_ids(df: DataFrame, ids: DataFrame, key: str, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Rows of the cases that are not in ``ids``."""
     return lookup_join(df, ids.select(key), key, "left_anti", hot)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str, hot: Sequence[int] | None = None) -> DataFrame:
+def only_ids(df: DataFrame, ids: DataFrame, key: str, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Rows of the cases in ``ids``; repeated ids do not repeat rows."""
     return lookup_join(df, ids.select(key), key, "left_semi", hot)
 
@@ -38,7 +38,7 @@ def event_window(events: DataFrame, log: EventLog, predicate: Column) -> DataFra
 
 
 def positive_targets(events: DataFrame, windows: DataFrame, log: EventLog, response: str,
-                     hot: Sequence[int] | None = None) -> DataFrame:
+                     hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per escalated case: the last time strictly before the escalation, and the greatest response up to it.
 
     A case that starts escalated drops out.
@@ -83,7 +83,7 @@ def negative_cuts(events: DataFrame, windows: DataFrame, distribution: DataFrame
 
 
 def negative_targets(events: DataFrame, cuts: DataFrame, log: EventLog,
-                     hot: Sequence[int] | None = None) -> DataFrame:
+                     hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per never-escalated case: the last time strictly before its cut, with response 0. None before it: drops out."""
     earlier = before(events.select(log.key, log.time), cuts.select(log.key, "time_cut"), log, "time_cut", hot)
     return earlier.groupBy(log.key).agg(
@@ -91,7 +91,7 @@ def negative_targets(events: DataFrame, cuts: DataFrame, log: EventLog,
     )
 
 
-def audit_dropped(events: DataFrame, cuts: DataFrame, log: EventLog, hot: Sequence[int] | None = None) -> DataFrame:
+def audit_dropped(events: DataFrame, cuts: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """One row on the never-escalated cases: how many there are, how many have an event before the cut, how many are
     lost, and how many events lie exactly at a cut."""
     joined = lookup_join(events.select(log.key, log.time), cuts.select(log.key, "time_cut"), log.key, "inner", hot)
@@ -110,7 +110,7 @@ def audit_dropped(events: DataFrame, cuts: DataFrame, log: EventLog, hot: Sequen
 def response_table(test: DataFrame, positives: DataFrame, negatives: DataFrame, log: EventLog) -> DataFrame:
     """Scoring cases (null response) and training cases that are not scoring cases: key, decision_time, response."""
     # one row per case on both sides: no case can be hot
-    training = exclude_ids(positives.unionByName(negatives), test, log.key, hot=())
+    training = exclude_ids(positives.unionByName(negatives), test, log.key, hot={})
     scoring = test.select(log.key, F.col(log.time).alias("decision_time"), F.lit(None).cast("double").alias("response"))
     return scoring.unionByName(training.select(log.key, "decision_time", "response"))
 

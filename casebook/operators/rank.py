@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 
 from casebook.operators.sizing import as_list, lookup_join, shuffle_partitions
 
-MAX_RANGES = 8192
+MAX_RANGES = 2048
 
 
 def range_buckets(distinct: DataFrame, keys: Sequence[str], name: str = "_bucket") -> DataFrame:
     """Add a range number that grows with ``keys``. ``distinct`` has one row per value of the keys.
 
-    The range bounds are picked from the rows with the smallest key hashes, so they depend on the data alone and a
-    recomputed task finds the same range. They reach the rows as a scalar subquery of fewer than MAX_RANGES values.
+    The range bounds are picked from the rows with the smallest key hashes (each task keeps at most 4 * MAX_RANGES), so
+    they depend on the data alone and a recomputed task finds the same range. They reach the rows as a scalar subquery
+    of fewer than MAX_RANGES values.
     """
     n_ranges = min(4 * shuffle_partitions(distinct), MAX_RANGES)
     key = F.struct(*keys)
     # The other columns ride along so that this branch can reuse the shuffle of the main one.
     rest = [c for c in distinct.columns if c not in keys]
-    sample = distinct.orderBy(F.xxhash64(*keys), *keys).limit(8 * n_ranges)
+    sample = distinct.orderBy(F.xxhash64(*keys), *keys).limit(4 * n_ranges)
     kept = sample.agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), *rest))).alias("kept"))
     step = F.greatest(F.lit(1), F.ceil(F.size("kept") / F.lit(n_ranges)).cast("int"))
     every = F.filter("kept", lambda _, i: (i > 0) & (i % step == 0))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import cache, reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than this share of the rows (so there are fewer than 2 / HOT_SHARE candidates), and
@@ -58,8 +58,9 @@ def _local_folder() -> str:
 
 
 def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = None,
-               rows: int | None = None) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows and more than ``rows`` rows.
+               rows: int | None = None) -> dict[int, int]:
+    """Hashes of the keys that hold more than ``share`` of the rows and more than ``rows`` rows, and for each the number
+    of salts that brings its rows down to half an average shuffle partition.
 
     One pass over the key columns. Each of up to 64 groups of input partitions keeps a bounded frequent-items
     sketch, the sketches are added up, and a bounded list reaches the driver. A key that is listed without being hot
@@ -79,7 +80,14 @@ def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = Non
     for sketch in sketches:
         for item, count in sketch["top"]:
             seen[item] = seen.get(item, 0) + count
-    return sorted(h for h, count in seen.items() if count > max(total * share, rows) / 2)
+    partitions = shuffle_partitions(df)
+
+    def salts(count: int) -> int:
+        # powers of two keep the number of different salt counts small
+        wanted = 1 << math.ceil(math.log2(max(2, 2 * partitions * count / total)))
+        return max(2, min(wanted, partitions))
+
+    return {h: salts(count) for h, count in sorted(seen.items()) if count > max(total * share, rows) / 2}
 
 
 def small_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
@@ -100,12 +108,12 @@ def small_values(values: DataFrame) -> dict[str, bool]:
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner",
-                hot: Sequence[int] | None = None, small: bool = False, null_safe: bool = False) -> DataFrame:
+                hot: Mapping[int, int] | None = None, small: bool = False, null_safe: bool = False) -> DataFrame:
     """Join many rows to a table with one row per key.
 
     ``small`` says that the table's size has been checked: it is broadcast and ``rows`` are not shuffled. Otherwise
-    both sides are shuffled on the key, and the rows of each hot key over as many salts as there are shuffle
-    partitions. ``hot`` takes a list from :func:`hot_hashes`, so that one check can serve several joins.
+    both sides are shuffled on the key, and the rows of each hot key spread over its salts. ``hot`` takes the result of
+    :func:`hot_hashes`, so that one check can serve several joins; by default the check runs here.
     """
     on = as_list(on)
     if small:
@@ -113,17 +121,51 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how:
     hot = hot_hashes(rows, on) if hot is None else hot
     if not hot:
         return _join(rows, table, on, how, null_safe)
-    return _salted(rows, table, on, how, hot, shuffle_partitions(rows), 1, null_safe)
+    types = dict(rows.dtypes)
+    table = table.withColumns({c: F.col(c).cast(types[c]) for c in on})
+    n = _salts(on, hot)
+    rows = rows.withColumn("_salt", _own_salt(rows, n))
+    table = table.withColumn("_salt", F.explode(_every_salt(n)))
+    return _join(rows, table, [*on, "_salt"], how, null_safe).drop("_salt")
 
 
 def pair_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Inner join of two tables that may both have many rows for a key."""
+    """Inner join of two tables that may both have many rows for a key.
+
+    A hot key gets a square of salts: a left row takes one line of it, a right row one column, and they meet in the
+    field where the two cross.
+    """
     on = as_list(on)
-    hot = sorted(set(hot_hashes(left, on)) | set(hot_hashes(right, on)))
+    types = dict(left.dtypes)
+    right = right.withColumns({c: F.col(c).cast(types[c]) for c in on})
+    both = [hot_hashes(side, on) for side in (left, right)]
+    hot = {h: math.ceil(math.sqrt(max(found.get(h, 1) for found in both))) for h in {**both[0], **both[1]}}
     if not hot:
         return left.join(right, on)
-    parts = math.ceil(math.sqrt(shuffle_partitions(left)))
-    return _salted(left, right, on, "inner", hot, parts, parts, False)
+    n = _salts(on, hot)
+    left = left.withColumn("_line", _own_salt(left, n)).withColumn("_column", F.explode(_every_salt(n)))
+    right = right.withColumn("_column", _own_salt(right, n)).withColumn("_line", F.explode(_every_salt(n)))
+    return left.join(right, [*on, "_line", "_column"]).drop("_line", "_column")
+
+
+def _salts(on: list[str], hot: Mapping[int, int]) -> Column:
+    """Number of salts of a row's key: 1 unless it is hot."""
+    tiers: dict[int, list[int]] = {}
+    for h, n in hot.items():
+        tiers.setdefault(n, []).append(h)
+    key = F.xxhash64(*on)
+    cases = [(key.isin(hashes), n) for n, hashes in sorted(tiers.items())]
+    return reduce(lambda column, case: column.when(*case), cases[1:], F.when(*cases[0])).otherwise(1)
+
+
+def _own_salt(df: DataFrame, n: Column) -> Column:
+    # The partition id keeps equal copies of one row apart; both inputs of the hash survive a retried task.
+    drawn = F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), n)
+    return F.when(n > 1, drawn).otherwise(0).cast("int")
+
+
+def _every_salt(n: Column) -> Column:
+    return F.sequence(F.lit(0), n - 1)
 
 
 def _join(rows, table, on, how, null_safe):
@@ -133,28 +175,3 @@ def _join(rows, table, on, how, null_safe):
     condition = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(renamed[f"_table_{c}"]) for c in on])
     joined = rows.join(renamed, condition, how)
     return joined.drop(*[f"_table_{c}" for c in on])
-
-
-def _salted(rows, table, on, how, hot, row_parts, table_parts, null_safe):
-    """Each hot row meets each matching table row in exactly one pair of salts."""
-    types = dict(rows.dtypes)
-    table = table.withColumns({c: F.col(c).cast(types[c]) for c in on})
-    # The partition id keeps equal copies of one row apart; both inputs of the hash survive a retried task.
-    def own(df, parts):
-        return F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(parts)).cast("int")
-
-    def every(parts):
-        return F.sequence(F.lit(0), F.lit(parts - 1))
-
-    is_hot = F.xxhash64(*on).isin(list(hot))
-    none = F.array(F.lit(0))
-    row_salts = F.when(is_hot, every(table_parts)).otherwise(none)
-    table_salts = F.when(is_hot, every(row_parts)).otherwise(none)
-    rows = rows.withColumn("_salt", F.when(is_hot, own(rows, row_parts)).otherwise(F.lit(0)))
-    if table_parts > 1:
-        table = table.withColumn("_other", F.when(is_hot, own(table, table_parts)).otherwise(F.lit(0)))
-        rows = rows.withColumn("_other", F.explode(row_salts))
-    table = table.withColumn("_salt", F.explode(table_salts))
-    salts = ["_salt", "_other"] if table_parts > 1 else ["_salt"]
-    joined = _join(rows, table, on + salts, how, null_safe)
-    return joined.drop("_salt", "_other")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from casebook.operators.eventlog import EventLog
 
 
 def case_decision_features(events: DataFrame, log: EventLog, escalated: Column, response: str,
-                           severity: str = "severity", hot: Sequence[int] | None = None) -> DataFrame:
+                           severity: str = "severity", hot: Mapping[int, int] | None = None) -> DataFrame:
     """Escalation windows, the decision time before each, the log cut there, and its history features."""
     windows = labels.event_window(events, log, escalated)
     decisions = labels.positive_targets(events, windows, log, response, hot)

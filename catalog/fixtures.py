@@ -24,10 +24,10 @@ COMMENTS = EventLog(ties=("event_id",))
 TURNS = EventLog(ties=())
 RESPONSE = "inverse_time_to_next_escalation"
 
-_hot: dict[tuple, list[int]] = {}
+_hot: dict[tuple, dict[int, int]] = {}
 
 
-def hot(spark: SparkSession, folder: str, name: str, *on: str) -> list[int]:
+def hot(spark: SparkSession, folder: str, name: str, *on: str) -> dict[int, int]:
     """Hot keys of a base table, looked for once."""
     if (folder, name, on) not in _hot:
         _hot[folder, name, on] = hot_hashes(table(spark, folder, name), on)

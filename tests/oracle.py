@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL in DuckDB: ``python tests/check_oracles.py [folder] [name ...]``."""
+"""Compare registered queries with their SQL in DuckDB: ``python tests/oracle.py [folder] [name ...]``."""
 
 from __future__ import annotations
 
@@ -13,11 +13,12 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
-def session(cores: int = 8, partitions: int = 8):
+def session(cores: int = 8, partitions: int = 8, **config: str):
     from pyspark.sql import SparkSession
 
     return (
-        SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", partitions)
+        SparkSession.builder.master(f"local[{cores}]").config(map={k.replace("_", "."): v for k, v in config.items()})
+        .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
