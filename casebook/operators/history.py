@@ -81,6 +81,23 @@ def last_gap(events: DataFrame, log: EventLog, name: str = "last_gap") -> DataFr
     return two.groupBy(log.key).agg(gap.alias(name))
 
 
+def summarise(events: DataFrame, log: EventLog, aggregates: Sequence[Column], gap_name: str,
+              hot: Mapping[int, int] | None = None) -> DataFrame:
+    """One row per case: aggregate columns as above, and the last gap in days under ``gap_name``.
+
+    Without a hot case one shuffle and one sort serve the gaps and all aggregates. With one (``hot``, from
+    :func:`hot_hashes`) the aggregates keep their map-side part and :func:`last_gap` is joined.
+    """
+    hot = hot_hashes(events, log.key) if hot is None else hot
+    if hot:
+        cases = events.groupBy(log.key).agg(*aggregates)
+        return cases.join(last_gap(events, log, gap_name), log.key, "left")
+    gap = F.col(log.time) - F.lag(log.time).over(Window.partitionBy(log.key).orderBy(log.time))
+    # of several events at the last time, all but one follow with gap 0
+    last = F.max_by("_gap", F.struct(log.time, -F.col("_gap"))) / DAY
+    return events.withColumn("_gap", gap).groupBy(log.key).agg(*aggregates, last.alias(gap_name))
+
+
 def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per case and time: ``n_events`` and ``gap``, the seconds since the time before (null for the first).
 

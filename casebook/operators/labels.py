@@ -12,7 +12,7 @@ from casebook.operators.asof import before
 from casebook.operators.eventlog import EventLog
 from casebook.operators.folds import assign
 from casebook.operators.rank import rank_table
-from casebook.operators.sizing import lookup_join
+from casebook.operators.sizing import lookup_join, materialise
 
 
 def positive_ids(events: DataFrame, log: EventLog, response: str) -> DataFrame:
@@ -71,7 +71,8 @@ def negative_cuts(events: DataFrame, windows: DataFrame, distribution: DataFrame
     """Per never-escalated case: its end, and a cut at one of the relative points, picked by a hash of the case."""
     ends = events.groupBy(log.key).agg(F.max(log.time).alias("case_end"))
     ends = ends.join(windows.select(log.key), log.key, "left_anti")
-    # at most 101 rows
+    # at most 101 rows, counted and looked up: written once
+    distribution = materialise(distribution.coalesce(1))
     indexed = distribution.select(
         (F.row_number().over(Window.orderBy("percentile")) - 1).cast("long").alias("_point"),
         "average_percentile_escalation_point",

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.text import leading_digit
 from casebook.operators import history, labels
-from casebook.operators.asof import cut_at
+from casebook.operators.asof import before
 from casebook.operators.eventlog import EventLog
+from casebook.operators.sizing import hot_hashes
 
 
 def case_decision_features(events: DataFrame, log: EventLog, escalated: Column, response: str,
                            severity: str = "severity", hot: Mapping[int, int] | None = None) -> DataFrame:
-    """Escalation windows, the decision time before each, the log cut there, and its history features."""
-    windows = labels.event_window(events, log, escalated)
-    decisions = labels.positive_targets(events, windows, log, response, hot)
-    needed = events.select(log.key, log.time, *dict.fromkeys([severity, *log.ties]))
-    cut = cut_at(needed, decisions, log, hot=hot)
+    """Decision time, target and history features of every escalated case that has events before its escalation.
+
+    The decision time is the last time before the escalation, so the events up to the decision are the events before
+    the escalation: one join gives both.
+    """
+    hot = hot_hashes(events, log.key) if hot is None else hot
+    starts = labels.event_window(events, log, escalated).select(log.key, "escalation_start")
+    needed = events.select(log.key, log.time, *dict.fromkeys([severity, response, *log.ties]))
+    earlier = before(needed, starts, log, "escalation_start", hot)
     level = leading_digit(severity)
-    features = cut.groupBy(log.key).agg(
-        F.max("decision_time").alias("decision_time"),
-        F.max("response").alias("response"),
+    return history.summarise(earlier, log, [
+        F.max(log.time).alias("decision_time"),
+        F.max(response).alias("response"),
         F.count("*").alias("n_events"),
         history.first_value(log, level).alias("initial_level"),
         history.last_value(log, level).alias("last_level"),
         history.mean_gap(log).alias("mean_gap_days"),
-    )
-    return features.join(history.last_gap(cut, log, "last_gap_days"), log.key, "left")
+    ], "last_gap_days", hot)

@@ -139,12 +139,11 @@ SELECT reference_id, max(CASE WHEN n = 1 THEN severity END) AS first_severity,
 FROM o GROUP BY reference_id"""))
 def case_summaries(spark, folder):
     events = status_history(spark, folder)
-    summaries = events.groupBy("reference_id").agg(
+    return rounded(history.summarise(events, HISTORY, [
         history.first_value(HISTORY, "severity").alias("first_severity"),
         history.last_value(HISTORY, "severity").alias("last_severity"),
         history.n_unique("severity").alias("severities"),
         history.category_share("severity", "1 - level").alias("share_of_level_1"),
         history.mean_gap(HISTORY).alias("mean_gap"),
         *[a.alias(n) for n, a in history.stats("l_quantity").items()],
-    )
-    return rounded(summaries.join(history.last_gap(events, HISTORY), "reference_id"))
+    ], "last_gap", hot(spark, folder, "lineitem", "l_orderkey")))
