@@ -34,20 +34,17 @@ def distribution(df: DataFrame, by: Sequence[str], numeric_column: str | None =
                  include_count: bool = True) -> DataFrame:
     """Per group: row count, share of rows, sum of a column, share of its total.
 
-    The totals come from the grouped rows as a scalar subquery, so the table is read once and nothing runs early.
+    The totals come from the grouped rows as one scalar subquery, so the table is read once and nothing runs early.
     """
     aggregates = {"count": F.count("*")} if include_count else {}
     if numeric_column is not None:
         aggregates[f"sum_{numeric_column}"] = F.sum(numeric_column)
     groups = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggregates.items()])
-    shares = {}
-    if include_count:
-        total = groups.agg(F.sum("count")).scalar()
-        shares["count_percentage"] = F.col("count") / total
-    if numeric_column is not None:
-        total = groups.agg(F.sum(f"sum_{numeric_column}")).scalar()
-        shares[f"{numeric_column}_percentage"] = F.try_divide(F.col(f"sum_{numeric_column}"), total)
-    return groups.withColumns(shares)
+    totals = groups.agg(F.struct(*[F.sum(n).alias(n) for n in aggregates])).scalar()
+    groups = groups.withColumn("_totals", totals)
+    share_names = {"count": "count_percentage", f"sum_{numeric_column}": f"{numeric_column}_percentage"}
+    shares = {share_names[n]: F.try_divide(F.col(n), F.col(f"_totals.{n}")) for n in aggregates}
+    return groups.withColumns(shares).drop("_totals")
 
 
 def long_distribution(df: DataFrame, categorical: str, numeric_column: str | None = None, include_count: bool = True,

@@ -91,9 +91,18 @@ def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = Non
 
 
 def small_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
-    """For each column, whether a lookup table with a row per value is small enough to broadcast. One job."""
-    values = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    return small_values(values.filter(F.col("value").isNotNull()).distinct())
+    """For each column, whether a lookup table with a row per value is small enough to broadcast.
+
+    Columns that a sketch puts far above the bound are not small; the values of the others are counted exactly.
+    """
+    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    countable = [c for c in columns if about[c] <= 1.25 * BROADCAST_ROWS]
+    small = {c: False for c in columns if c not in countable}
+    if countable:
+        texts = df.select(*[F.col(c).cast("string").alias(c) for c in countable])
+        values = texts.unpivot([], countable, "column", "value").filter(F.col("value").isNotNull())
+        small |= small_values(values.distinct())
+    return small
 
 
 def small_values(values: DataFrame) -> dict[str, bool]:

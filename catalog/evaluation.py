@@ -105,6 +105,14 @@ def regression_metrics(spark, folder):
     return rounded(evaluate.regression_metrics(priced(spark, folder)), {"mse": 1, "rmse": 4, "mae": 4})
 
 
+@query(with_(PRICED, """m AS (
+  SELECT avg((predicted - observed) ** 2) AS mse, avg(abs(predicted - observed)) AS mae FROM scored)""", select="""
+SELECT 'rmse' AS metric, round(sqrt(mse), 2) AS value FROM m UNION ALL SELECT 'mse', round(mse, 2) FROM m
+UNION ALL SELECT 'mae', round(mae, 2) FROM m"""))
+def metric_bundle(spark, folder):
+    return rounded(evaluate.metrics(priced(spark, folder), "regression"), 2)
+
+
 def metrics_sql(name: str, score: str) -> tuple[str, ...]:
     """The metric bundle of one classifier, with its parts under names of its own."""
     parts = (classified_sql("scored", score), BINNED, *GINI, AUC, LOG_LOSS)

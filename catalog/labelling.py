@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casebook.operators import labels
 from casebook.operators.folds import assign, holdout
+from casebook.operators.sizing import materialise
 from casebook.plans.decisions import case_decision_features as decision_features
 from catalog.fixtures import (HISTORY, LINE_TIES, POSITIVE_CASES, POSITIVES, RESPONSE, SCORING, STATUS_HISTORY, WINDOWS,
                               bucket_sql, hot, positive_cases, scoring, status_history)
@@ -22,8 +23,13 @@ def _hot(spark, folder):
     return hot(spark, folder, "lineitem", "l_orderkey")
 
 
-def _windows(spark, folder):
-    return labels.event_window(status_history(spark, folder), HISTORY, _escalated())
+def _windows(events):
+    return labels.event_window(events, HISTORY, _escalated())
+
+
+def _landed(spark, folder):
+    """What labels need of the status history as a table of its own, for queries that read it several times."""
+    return materialise(status_history(spark, folder).select(HISTORY.key, HISTORY.time, "is_escalate", RESPONSE))
 
 
 CUT = """cut AS (SELECT c.*, decision_time, response, try_cast(substr(severity, 1, 1) AS INTEGER) AS level,
@@ -47,7 +53,7 @@ def case_decision_features(spark, folder):
 
 @query(with_(STATUS_HISTORY, WINDOWS, select="SELECT * FROM windows"))
 def event_window(spark, folder):
-    return _windows(spark, folder)
+    return _windows(status_history(spark, folder))
 
 
 @query(with_(STATUS_HISTORY, select="""
@@ -60,7 +66,7 @@ def positive_ids(spark, folder):
 SELECT reference_id, decision_time, round(response, 6) AS response FROM positives"""))
 def positive_targets(spark, folder):
     events = status_history(spark, folder)
-    return rounded(labels.positive_targets(events, _windows(spark, folder), HISTORY, RESPONSE, _hot(spark, folder)))
+    return rounded(labels.positive_targets(events, _windows(events), HISTORY, RESPONSE, _hot(spark, folder)))
 
 
 RATIOS = """ratios AS (
@@ -76,13 +82,12 @@ POINTS = """points AS (
 @query(with_(STATUS_HISTORY, WINDOWS, RATIOS, POINTS, select="""
 SELECT percentile, round(average_percentile_escalation_point, 8) AS average_percentile_escalation_point FROM points"""))
 def relative_points(spark, folder):
-    return rounded(labels.relative_point_distribution(_windows(spark, folder)), 8)
+    return rounded(labels.relative_point_distribution(_windows(status_history(spark, folder))), 8)
 
 
-def _cuts(spark, folder):
-    windows = _windows(spark, folder)
-    points = labels.relative_point_distribution(windows)
-    return labels.negative_cuts(status_history(spark, folder), windows, points, HISTORY)
+def _cuts(events):
+    windows = _windows(events)
+    return labels.negative_cuts(events, windows, labels.relative_point_distribution(windows), HISTORY)
 
 
 CUTS = f"""cuts AS (
@@ -100,8 +105,8 @@ NEGATIVE_PARTS = (STATUS_HISTORY, WINDOWS, RATIOS, POINTS, CUTS)
 
 @query(with_(*NEGATIVE_PARTS, NEGATIVES, select="SELECT * FROM negatives"))
 def negative_targets(spark, folder):
-    cuts = _cuts(spark, folder)
-    return labels.negative_targets(status_history(spark, folder), cuts, HISTORY, _hot(spark, folder))
+    events = _landed(spark, folder)
+    return labels.negative_targets(events, _cuts(events), HISTORY, _hot(spark, folder))
 
 
 @query(with_(*NEGATIVE_PARTS, select="""
@@ -111,14 +116,14 @@ FROM (SELECT c.reference_id, count(*) FILTER (seconds_since_case_start < time_cu
         count(*) FILTER (seconds_since_case_start = time_cut) AS at_cut
       FROM csh c JOIN cuts ON c.reference_id = cuts.reference_id GROUP BY c.reference_id)"""))
 def audit_dropped(spark, folder):
-    return labels.audit_dropped(status_history(spark, folder), _cuts(spark, folder), HISTORY, _hot(spark, folder))
+    events = _landed(spark, folder)
+    return labels.audit_dropped(events, _cuts(events), HISTORY, _hot(spark, folder))
 
 
 def responses(spark, folder):
-    events = status_history(spark, folder)
-    windows = _windows(spark, folder)
-    positives = labels.positive_targets(events, windows, HISTORY, RESPONSE, _hot(spark, folder))
-    negatives = labels.negative_targets(events, _cuts(spark, folder), HISTORY, _hot(spark, folder))
+    events = _landed(spark, folder)
+    positives = labels.positive_targets(events, _windows(events), HISTORY, RESPONSE, _hot(spark, folder))
+    negatives = labels.negative_targets(events, _cuts(events), HISTORY, _hot(spark, folder))
     return labels.response_table(scoring(events), positives, negatives, HISTORY)
 
 
