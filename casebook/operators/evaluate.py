@@ -71,32 +71,35 @@ def row_error(scored: DataFrame) -> DataFrame:
     return scored.withColumn("prediction_error", F.col(PREDICTED) - F.col(OBSERVED))
 
 
-def lift(scored: DataFrame, q: int = 10) -> DataFrame:
-    """Mean observed per quantile over the population mean."""
-    value = F.try_divide(F.col("mean_observed"), F.col("population_mean"))
-    return quantile_table(scored, q).select("quantile", "quantile_mid", value.alias("lift"))
+def curves(scored: DataFrame, q: int = 10) -> DataFrame:
+    """Lift, cumulative lift (plain and weighted by rows) and gains per quantile, from one quantile table."""
+    # over a quantile table: at most q rows
+    top_first = Window.orderBy(F.desc("quantile")).rowsBetween(Window.unboundedPreceding, 0)
+    table = quantile_table(scored, q).withColumn(
+        "lift", F.try_divide(F.col("mean_observed"), F.col("population_mean")))
+    weighted = F.sum(F.col("lift") * F.col("n")).over(top_first) / F.sum("n").over(top_first)
+    return table.select(
+        "quantile", "quantile_mid", "lift",
+        F.avg("lift").over(top_first).alias("cumulative_lift"),
+        weighted.alias("weighted_cumulative_lift"),
+        F.try_divide(F.sum("sum_observed").over(top_first), F.col("total_observed")).alias("gains"),
+    )
 
 
-def _top_first() -> Window:
-    # over a quantile table: at most q rows
-    return Window.orderBy(F.desc("quantile")).rowsBetween(Window.unboundedPreceding, 0)
+def lift(scored: DataFrame, q: int = 10) -> DataFrame:
+    """Mean observed per quantile over the population mean."""
+    return curves(scored, q).select("quantile", "quantile_mid", "lift")
 
 
 def cumulative_lift(scored: DataFrame, q: int = 10, weighted: bool = False) -> DataFrame:
     """Mean lift of a quantile and all higher ones: of the lifts themselves, or weighted by rows."""
-    value = F.try_divide(F.col("mean_observed"), F.col("population_mean"))
-    table = quantile_table(scored, q).withColumn("lift", value)
-    if weighted:
-        mean = F.sum(F.col("lift") * F.col("n")).over(_top_first()) / F.sum("n").over(_top_first())
-    else:
-        mean = F.avg("lift").over(_top_first())
-    return table.select("quantile", "quantile_mid", "lift", mean.alias("cumulative_lift"))
+    mean = F.col("weighted_cumulative_lift" if weighted else "cumulative_lift")
+    return curves(scored, q).select("quantile", "quantile_mid", "lift", mean.alias("cumulative_lift"))
 
 
 def gains(scored: DataFrame, q: int = 10) -> DataFrame:
     """Share of the total observed that lies in a quantile and all higher ones."""
-    share = F.try_divide(F.sum("sum_observed").over(_top_first()), F.col("total_observed"))
-    return quantile_table(scored, q).select("quantile", "quantile_mid", share.alias("gains"))
+    return curves(scored, q).select("quantile", "quantile_mid", "gains")
 
 
 def _gini(ranked: DataFrame) -> Column:

@@ -17,7 +17,9 @@ from casebook.operators.asof import latest_before
 from casebook.operators.rank import range_buckets
 from casebook.operators.sizing import hot_hashes
 
-DAY = 86400  # seconds
+# Seconds in a day, and the time of something that has not happened.
+DAY = 86400
+NEVER = -999
 
 
 # ---- aggregate columns
@@ -203,11 +205,12 @@ def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
 def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Response rows with the latest :func:`pivot_counts` row of their case at or before their time.
 
-    ``seconds_to_closest_milestone_features`` is how long before; a case without one keeps nulls.
+    The time of a value not seen by then is NEVER. ``seconds_to_closest_milestone_features`` is how long before the
+    counts were taken; a case without any keeps nulls.
     """
     columns = [c for c in counts.columns if c not in (log.key, log.time)]
-    dated = counts.withColumn("_counted_at", F.col(log.time))
-    found = latest_before(rows, dated, log.key, log.time, [*columns, "_counted_at"], ["_counted_at"],
-                          hot=hot)
+    times = [c for c in columns if c.startswith(("first_time_", "last_time_"))]
+    dated = counts.fillna(NEVER, times).withColumn("_counted_at", F.col(log.time))
+    found = latest_before(rows, dated, log.key, log.time, [*columns, "_counted_at"], ["_counted_at"], hot=hot)
     distance = F.col(log.time) - F.col("_counted_at")
     return found.withColumn("seconds_to_closest_milestone_features", distance).drop("_counted_at")

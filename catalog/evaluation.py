@@ -55,8 +55,7 @@ SELECT quantile, round(quantile_mid, 6) AS quantile_mid, round(lift, 6) AS lift,
 FROM lifts"""))
 def lift_gains(spark, folder):
     scored = classified(spark, folder).select("predicted", "observed")
-    lifts = evaluate.cumulative_lift(scored)
-    return rounded(lifts.join(evaluate.gains(scored).drop("quantile_mid"), "quantile"))
+    return rounded(evaluate.curves(scored).drop("weighted_cumulative_lift"))
 
 
 GINI = f"""ranked AS (

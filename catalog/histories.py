@@ -89,19 +89,20 @@ def prior_counts(spark, folder):
     return history.prior_counts(comments(spark, folder), COMMENTS, "comment_type", hot=hot(spark, folder, "events", "user_id"))
 
 
-_TOTALS = ", ".join(f"count_{v}" for v in MILESTONE_IDS)
+_SEEN = ", ".join(
+    f"count_{v}, CASE WHEN total IS NOT NULL THEN coalesce(first_time_{v}, -999) END AS first_time_{v}, "
+    f"CASE WHEN total IS NOT NULL THEN coalesce(last_time_{v}, -999) END AS last_time_{v}" for v in MILESTONE_IDS)
 
 
-@query(with_(STATUS_HISTORY, MILESTONE_ROWS, SCORING, """grid AS (
-  SELECT a.reference_id, a.seconds_since_case_start, count(b.milestone_id) AS total, """ + ", ".join(
-    f"count(*) FILTER (b.milestone_id = {v}) AS count_{v}" for v in MILESTONE_IDS) + """
+@query(with_(STATUS_HISTORY, MILESTONE_ROWS, SCORING, f"""grid AS (
+  SELECT a.reference_id, a.seconds_since_case_start, count(b.milestone_id) AS total, {_COUNTS}
   FROM (SELECT DISTINCT reference_id, seconds_since_case_start FROM milestones) a LEFT JOIN milestones b
     ON a.reference_id = b.reference_id AND b.seconds_since_case_start < a.seconds_since_case_start GROUP BY ALL)""",
              """rows_in AS (
   SELECT reference_id, seconds_since_case_start, 1 AS in_train FROM csh
   WHERE inverse_time_to_next_escalation IS NOT NULL
   UNION ALL SELECT reference_id, seconds_since_case_start, 0 FROM scoring)""", select=f"""
-SELECT r.*, total, {_TOTALS}, r.seconds_since_case_start - g.seconds_since_case_start
+SELECT r.*, total, {_SEEN}, r.seconds_since_case_start - g.seconds_since_case_start
   AS seconds_to_closest_milestone_features
 FROM rows_in r ASOF LEFT JOIN grid g
   ON r.reference_id = g.reference_id AND r.seconds_since_case_start >= g.seconds_since_case_start"""))
@@ -112,8 +113,7 @@ def response_history(spark, folder):
         "reference_id", "seconds_since_case_start", "in_train"))
     keys = hot(spark, folder, "lineitem", "l_orderkey")
     counts = history.pivot_counts(milestones(spark, folder), MILESTONES, "milestone_id", MILESTONE_IDS, keys)
-    return history.as_of_rows(rows, counts, MILESTONES, keys).drop(
-        *[c for v in MILESTONE_IDS for c in (f"first_time_{v}", f"last_time_{v}")])
+    return history.as_of_rows(rows, counts, MILESTONES, keys)
 
 
 @query(with_(STATUS_HISTORY, select=f"""

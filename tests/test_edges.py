@@ -154,6 +154,17 @@ def test_as_of_join(spark):
                                 (2, 3, None, None)]
 
 
+def test_counts_as_of_response_rows(spark):
+    df = events(spark, [(1, 2, 0, "a"), (1, 5, 0, "b")])
+    asked = spark.createDataFrame([(1, 1), (1, 5), (1, 9), (2, 0)], "id long, t long")
+    for hot in ({}, {1: 2}):
+        counts = history.pivot_counts(df, LOG, "v", ["a", "b"], hot)
+        found = history.as_of_rows(asked, counts, LOG, hot).select(
+            "id", "t", "total", "count_a", "first_time_a", "first_time_b", "seconds_to_closest_milestone_features")
+        assert rows(found) == [(1, 1, None, None, None, None, None), (1, 5, 1, 1, 2, -999, 0),
+                               (1, 9, 1, 1, 2, -999, 4), (2, 0, None, None, None, None, None)]
+
+
 # ---- labels
 
 def test_positive_targets_do_not_look_ahead(spark):
