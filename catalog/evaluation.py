@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from casebook.operators import evaluate
 from catalog.fixtures import LINE_TIES, PRICED, classified, classified_sql, priced
 from catalog.registry import query, rounded, with_

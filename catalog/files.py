@@ -28,7 +28,8 @@ def csv_round_trip(spark, folder):
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
 def pipe_round_trip(spark, folder):
     path = f"{_folder(spark)}/customer"
-    files.write_csv(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, sep=files.PIPE)
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    files.write_csv(customer, path, sep=files.PIPE)
     return files.read_delimited(spark, path)
 
 

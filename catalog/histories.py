@@ -86,7 +86,8 @@ FROM (SELECT DISTINCT reference_id, seconds_since_case_start FROM comments) a JO
   ON a.reference_id = b.reference_id AND b.seconds_since_case_start < a.seconds_since_case_start
 GROUP BY ALL"""))
 def prior_counts(spark, folder):
-    return history.prior_counts(comments(spark, folder), COMMENTS, "comment_type", hot=hot(spark, folder, "events", "user_id"))
+    keys = hot(spark, folder, "events", "user_id")
+    return history.prior_counts(comments(spark, folder), COMMENTS, "comment_type", hot=keys)
 
 
 _SEEN = ", ".join(

@@ -68,7 +68,8 @@ UNIQUE_COLUMNS = ("c_custkey", "c_nationkey", "c_mktsegment")
 
 
 @query(" UNION ALL ".join(
-    f"SELECT 'count_unique_{c}' AS \"column\", count(DISTINCT {c})::DOUBLE AS unique_count, 'count' AS type FROM customer"
+    f"SELECT 'count_unique_{c}' AS \"column\", count(DISTINCT {c})::DOUBLE AS unique_count, 'count' AS type "
+    "FROM customer"
     f" UNION ALL SELECT 'percent_unique_{c}', round(count(DISTINCT {c}) / count({c}), 6), 'percent' FROM customer"
     for c in UNIQUE_COLUMNS))
 def unique_summary(spark, folder):

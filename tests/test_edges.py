@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from casebook.functions import geography
 from casebook.functions.text import leading_digit, word_count
-from casebook.operators import asof, assemble, clean, encode, evaluate, features, folds, geo, history, labels, profile, rank
+from casebook.operators import (asof, assemble, clean, encode, evaluate, features, folds, geo, history, labels, profile,
+                                rank)
 from casebook.operators.eventlog import EventLog
 from casebook.plans import training
 from casebook.sources import files
@@ -168,8 +169,9 @@ def test_counts_as_of_response_rows(spark):
 # ---- labels
 
 def test_positive_targets_do_not_look_ahead(spark):
-    df = spark.createDataFrame([(1, 0, "N", 0.2), (1, 4, "N", 0.5), (1, 6, "Y", None), (1, 8, "N", 0.9), (2, 0, "Y", None)],
-                               "id long, t long, e string, r double")
+    df = spark.createDataFrame(
+        [(1, 0, "N", 0.2), (1, 4, "N", 0.5), (1, 6, "Y", None), (1, 8, "N", 0.9), (2, 0, "Y", None)],
+        "id long, t long, e string, r double")
     windows = labels.event_window(df, LOG, F.col("e") == "Y")
     assert rows(windows) == [(1, 6, 6), (2, 0, 0)]
     # case 2 starts escalated and drops out
@@ -317,7 +319,8 @@ def test_geohash_of_a_known_point(spark):
 def test_pairs_within_a_distance_against_all_pairs(spark, km):
     places = [(i, -90 + i * 37 % 181, -180 + i * 53 % 361) for i in range(120)]
     places += [(200, 89.9, 10.0), (201, 89.9, -170.0), (202, 0.0, 180.0), (203, 0.0, -180.0), (204, 0.1, 179.9)]
-    df = spark.createDataFrame([(i, float(a), float(o)) for i, a, o in places], "id long, latitude double, longitude double")
+    df = spark.createDataFrame([(i, float(a), float(o)) for i, a, o in places],
+                               "id long, latitude double, longitude double")
     got = geo.within_distance(df.withColumnRenamed("id", "l"), df.withColumnRenamed("id", "r"), km, "l", "r")
 
     def distance(a, b):
