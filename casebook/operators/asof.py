@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.operators.eventlog import EventLog
-from casebook.operators.rank import range_buckets
+from casebook.operators.rank import range_buckets, with_range_value
 from casebook.operators.sizing import as_list, hot_hashes, lookup_join
 
 
@@ -76,12 +76,12 @@ def _latest_in_ranges(left: DataFrame, right: DataFrame, by: list[str], on: str,
     running = Window.partitionBy("_key").orderBy("_bucket")
     ends = ends.withColumn("_last", F.last(F.when(F.col("_seen.key") == F.col("_key"), F.col("_seen._payload")),
                                            ignorenulls=True).over(running))
-    carried = ends.select("_bucket", F.lag(F.struct("_key", "_last")).over(Window.orderBy("_bucket")).alias("_carry"))
+    carried = ends.select("_bucket", F.lag(F.struct("_key", "_last")).over(Window.orderBy("_bucket")).alias("end"))
     frame = Window.partitionBy("_bucket", *by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     found = F.coalesce(F.last("_payload", ignorenulls=True).over(frame),
-                       F.when(F.col("_carry._key") == key, F.col("_carry._last")))
+                       F.when(F.col("_carry.end._key") == key, F.col("_carry.end._last")))
     answers = (
-        ranged.join(F.broadcast(carried), "_bucket")
+        with_range_value(ranged, carried, "_carry")
         .withColumn("_found", found)
         .filter(F.col("_asked") == 1)
         .select(*by, on, *[F.col(f"_found.{c}").alias(c) for c in columns])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from casebook.functions.text import column
 from casebook.operators.eventlog import EventLog
 from casebook.operators.asof import latest_before
-from casebook.operators.rank import range_buckets
+from casebook.operators.rank import range_buckets, with_range_value
 from casebook.operators.sizing import hot_hashes
 
 # Seconds in a day, and the time of something that has not happened.
@@ -115,13 +115,13 @@ def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | N
     ranged = range_buckets(moments, [log.key, log.time])
     # One row per range, at most MAX_RANGES rows. The same columns as the rows below, so that both share one shuffle.
     ends = ranged.groupBy("_bucket").agg(F.max(F.struct(log.key, log.time, "n_events")).alias("_end"))
-    carried = ends.select("_bucket", F.lag("_end").over(Window.orderBy("_bucket")).alias("_carry"))
+    carried = ends.select("_bucket", F.lag("_end").over(Window.orderBy("_bucket")).alias("end"))
     inside = Window.partitionBy("_bucket", log.key).orderBy(log.time)
     previous = F.coalesce(
         F.lag(log.time).over(inside),
-        F.when(F.col(f"_carry.{log.key}") == F.col(log.key), F.col(f"_carry.{log.time}")),
+        F.when(F.col(f"_carry.end.{log.key}") == F.col(log.key), F.col(f"_carry.end.{log.time}")),
     )
-    return ranged.join(F.broadcast(carried), "_bucket").select(
+    return with_range_value(ranged, carried, "_carry").select(
         log.key, log.time, "n_events", (F.col(log.time) - previous).alias("gap")
     )
 
@@ -172,18 +172,18 @@ def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Calla
     so_far = Window.partitionBy(log.key).orderBy("_bucket")
     ends = ends.select("_bucket", log.key, *[f(c).over(so_far).alias(c) for c, f in fold.items()])
     carried = ends.select(
-        "_bucket", F.lag(F.struct(log.key, *fold)).over(Window.orderBy("_bucket")).alias("_carry")
+        "_bucket", F.lag(F.struct(log.key, *fold)).over(Window.orderBy("_bucket")).alias("end")
     )
     earlier = Window.partitionBy("_bucket", log.key).orderBy(log.time).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col(f"_carry.{log.key}") == F.col(log.key)
+    same = F.col(f"_carry.end.{log.key}") == F.col(log.key)
 
     def prior(name, f):
-        inside, carry = f(name).over(earlier), F.when(same, F.col(f"_carry.{name}"))
+        inside, carry = f(name).over(earlier), F.when(same, F.col(f"_carry.end.{name}"))
         if f is F.sum:
             return F.coalesce(inside + carry, inside, carry)
         return F.least(inside, carry) if f is F.min else F.greatest(inside, carry)
 
-    return ranged.join(F.broadcast(carried), "_bucket").select(
+    return with_range_value(ranged, carried, "_carry").select(
         log.key, log.time, *[prior(c, f).alias(c) for c, f in fold.items()]
     )
 

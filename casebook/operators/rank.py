@@ -42,6 +42,20 @@ def range_buckets(distinct: DataFrame, keys: Sequence[str], name: str = "_bucket
     return distinct.withColumn("_bounds", bounds.scalar()).withColumn(name, bucket).drop("_bounds")
 
 
+def with_range_value(ranged: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Add, as a struct, the row of ``values`` that belongs to each row's range.
+
+    ``values`` has one row for every range, at most MAX_RANGES. Ranges are numbered from 0 without a gap, since each
+    bound is itself a key, so a row finds its value by position in the sorted list, which reaches it as a scalar
+    subquery.
+    """
+    value = F.struct(*[c for c in values.columns if c != "_bucket"]).alias("value")
+    entries = F.collect_list(F.struct("_bucket", value))
+    listed = values.agg(F.array_sort(entries, lambda a, b: a["_bucket"] - b["_bucket"])).scalar()
+    found = F.get("_listed", F.col("_bucket"))["value"]
+    return ranged.withColumn("_listed", listed).withColumn(name, found).drop("_listed")
+
+
 def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str, sums: Sequence[str] = ()) -> DataFrame:
     """Add ``before`` (rows with lower keys) and ``total`` to a table with one row per key value.
 
@@ -49,7 +63,7 @@ def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str, sums: S
     """
     keys = list(keys)
     ranged = range_buckets(distinct, keys)
-    # One row per range: at most MAX_RANGES rows in the windows without partitions and in the broadcast.
+    # One row per range: at most MAX_RANGES rows in the windows without partitions.
     per_range = ranged.groupBy("_bucket").agg(F.sum(weight).alias("_n"), *[F.sum(c).alias(c) for c in sums])
     everything = Window.partitionBy()
     offsets = per_range.select(
@@ -59,11 +73,11 @@ def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str, sums: S
         *[F.sum(c).over(everything).alias(f"total_{c}") for c in sums],
     )
     inside = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    return (
-        ranged.join(F.broadcast(offsets), "_bucket")
-        .withColumn("before", before)
-        .drop("_bucket", "_offset")
+    before = F.col("_range._offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    return with_range_value(ranged, offsets, "_range").select(
+        *distinct.columns,
+        *[F.col(f"_range.{c}").alias(c) for c in offsets.columns if c.startswith("total")],
+        before.alias("before"),
     )
 
 
