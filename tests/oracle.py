@@ -19,7 +19,7 @@ def session(cores: int = 8, partitions: int = 8, **config: str):
     return (
         SparkSession.builder.master(f"local[{cores}]").config(map={k.replace("_", "."): v for k, v in config.items()})
         .config("spark.sql.shuffle.partitions", partitions)
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
     )
