@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from casebook.llm.store import process_cache
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
            rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-CACHED_UNITS = 500_000
+CACHED_UNITS = 200_000
 CACHED_LENGTH = 64
 
 
@@ -44,7 +45,35 @@ class _Units(dict):
         return ids
 
 
-class ByteBPE:
+class Tokens:
+    """The bytes of every token of a vocabulary: token i is ``blob[offset[i]:offset[i + 1]]``."""
+
+    def __init__(self, vocabulary: str):
+        self.spec = json.loads(vocabulary)
+        byte_of = _byte_characters()
+        self.special = {t["content"]: t["id"] for t in self.spec.get("added_tokens", [])}
+        names = {i: t for t, i in self.spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.size = max(names, default=-1) + 1
+        self.special_ids = set(self.special.values())
+        self.token = [b""] * self.size
+        for i, t in names.items():
+            self.token[i] = t.encode() if i in self.special_ids else bytes(byte_of[c] for c in t)
+        self.offset = np.zeros(self.size + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in self.token], out=self.offset[1:])
+        self.blob = np.frombuffer(b"".join(self.token), dtype=np.uint8)
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids; ids outside the vocabulary give nothing."""
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        start, size = np.append(self.offset[:-1], 0)[ids], np.append(np.diff(self.offset), 0)[ids]
+        stop = np.cumsum(size)
+        where = np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+        data = self.blob[where].tobytes()
+        stop = np.append(0, stop)
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(stop[ends[:-1]], stop[ends[1:]], strict=True)]
+
+
+class ByteBPE(Tokens):
     """Encoder and decoder for one vocabulary, given as the text of its JSON file.
 
     A piece of text is covered from the left by the longest token that ends up next to a compatible one. Two tokens
@@ -57,16 +86,8 @@ class ByteBPE:
         import ahocorasick
         import regex
 
-        spec = json.loads(vocabulary)
-        model, byte_of = spec["model"], _byte_characters()
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.size = max(names, default=-1) + 1
-        special_ids = set(self.special.values())
-        self.token = [b""] * self.size
-        for i, t in names.items():
-            self.token[i] = t.encode() if i in special_ids else bytes(byte_of[c] for c in t)
-        self.known = np.array([i in names for i in range(self.size)], dtype=bool)
+        super().__init__(vocabulary)
+        model, special_ids = self.spec.pop("model"), self.special_ids
         ids = model["vocab"]
         self.merge, self.rank, self.parts = {}, [-1] * self.size, [None] * self.size
         for r, pair in enumerate(model["merges"]):
@@ -93,10 +114,6 @@ class ByteBPE:
         self.after_space = _Units(lambda u: self._cover(" " + u) if u.isalpha() else self._merge_unit(" " + u))
         self.plain = _Units(self._merge_unit)
         self.pieces = _Units(self._cover)
-        # decoding: token i is blob[offset[i]:offset[i + 1]]
-        self.offset = np.zeros(self.size + 1, dtype=np.int64)
-        np.cumsum([len(t) for t in self.token], out=self.offset[1:])
-        self.blob = np.frombuffer(b"".join(self.token), dtype=np.uint8)
 
     def _border_holds(self, x: int, y: int, limit: float) -> bool:
         """Whether no merge of rank under ``limit`` joins x and y, while their own merges are undone last to first."""
@@ -176,22 +193,12 @@ class ByteBPE:
         return b"".join(np.int32(self.special[p]).tobytes() if p in self.special else self._ordinary(p)
                         for p in self.specials(text) if p)
 
-    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """Texts of consecutive runs of ids; ids outside the vocabulary give nothing."""
-        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
-        start, size = np.append(self.offset[:-1], 0)[ids], np.append(np.diff(self.offset), 0)[ids]
-        stop = np.cumsum(size)
-        where = np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
-        data = self.blob[where].tobytes()
-        stop = np.append(0, stop)
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(stop[ends[:-1]], stop[ends[1:]], strict=True)]
-
 
-def _codec(vocabulary: str) -> ByteBPE:
+def _codec(kind: type, vocabulary: str) -> Tokens:
     cache = process_cache()
-    key = ("bpe", len(vocabulary), hash(vocabulary))
+    key = (kind.__name__, len(vocabulary), zlib.crc32(vocabulary.encode()))
     if key not in cache:
-        cache[key] = ByteBPE(vocabulary)
+        cache[key] = kind(vocabulary)
     return cache[key]
 
 
@@ -219,7 +226,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(ByteBPE, vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
@@ -241,7 +248,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "d
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(Tokens, vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
