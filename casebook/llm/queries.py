@@ -46,6 +46,30 @@ def op2_bpe(spark, folder):
     return bpe.decode(ids, vocabulary()).select("doc_id", *bpe.digests(ids))
 
 
+@query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+        AND list_bool_or(list_transform(embedding, lambda e: e <> 0))),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        AND list_cosine_similarity(a.x, b.x) >= 0.95),
+    reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+        vec_id <= coalesce(low, vec_id) AS kept
+    FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+    LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)""")
+def op3_pq_near_dedup(spark, folder):
+    from casebook.llm.pq_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query()
+def op4_hilbert_neighbours(spark, folder):
+    from casebook.llm.curves import neighbours
+
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
 _ENTROPY_RUN = "[A-Za-z0-9+/_=-]{20,}"
 
 
