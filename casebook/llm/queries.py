@@ -175,6 +175,14 @@ def op7_source_mix(spark, folder):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op8_site_tree_extract(spark, folder):
+    from casebook.llm.site_tree import extract
+
+    pages = extract(table(spark, folder, "pages", "page_id", "url", "html")).drop("html")
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query()
 def op9_quality(spark, folder):
     from casebook.llm import quality
