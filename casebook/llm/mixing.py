@@ -62,13 +62,13 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
 
     A null source is a source of its own; a null or empty text has size 0 and is not taken. Equal inputs give equal
     multisets of rows, however they are partitioned. An empty table gives no rows. Identity and carried columns may
-    not be named like the result's other columns or start with ``_``.
+    not be named like the result's other columns.
     """
     seeded = F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e"))
                                                      for c in (*identity, source, text)])
     key = F.conv(F.substring(F.md5(seeded), 1, 15), 16, 10).cast("long")
     kept = list(dict.fromkeys([*identity, *carry]))
-    rows = written(df.select(*kept, F.col(source).alias("_source"), words(F.col(text)).alias("size"),
+    rows = written(df.select(*[F.col(c).alias(f"_kept_{c}") for c in kept], F.col(source).alias("_source"), words(F.col(text)).alias("size"),
                              key.alias("_key"), F.monotonically_increasing_id().alias("_tie")), "mix")
     sources = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"),
                                                                  F.count("*").alias("_n"))
@@ -77,7 +77,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
         "_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
     plan = written(plan.withColumn("_buckets", F.ceil(F.col("_n") / ROWS_PER_BUCKET)), "mix-plan")
     placed = rows.join(plan, _same("_source", "source"), "left").withColumn(
-        "_bucket", F.floor(F.col("_key") * F.col("_buckets") / F.lit(float(KEY_SPACE))))
+        "_bucket", F.floor(F.col("_key") / F.lit(float(KEY_SPACE)) * F.col("_buckets")))
 
     by = Window.partitionBy("source")
     buckets = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("w"), F.first("_rest").alias("_rest"))
@@ -106,8 +106,8 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     number = F.col("_earlier") + F.row_number().over(Window.partitionBy("source", "_part").orderBy("_tie"))
     numbered = block.join(parts, _same("source", "s4") & (F.col("_part") == F.col("p4"))).withColumn(
         "_more", F.when(number <= F.col("_some"), 1).otherwise(0))
-    columns = [*kept, "size", "source_size", "target", "_passes", "_more"]
+    columns = [*[f"_kept_{c}" for c in kept], "size", "source_size", "target", "_passes", "_more"]
     both = decided.where(~at_cut).withColumn("_more", more).select(*columns).union(numbered.select(*columns))
     copies = F.when(F.col("size") > 0, F.col("_passes") + F.col("_more")).otherwise(0)
-    return both.select(*kept, "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
+    return both.select(*[F.col(f"_kept_{c}").alias(c) for c in kept], "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
                        copies.cast("int").alias("copies"))
