@@ -32,7 +32,7 @@ NOISE_NAMES = re.compile(
     r"replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|widgets?|"
     r"skip|copyright|legal)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
+    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 LEAST_PAGES = 8  # a style node is judged once so many pages of the site have it
@@ -56,8 +56,8 @@ def _noisy(tag: str, attributes: str) -> bool:
 
 def _style(tag: str, attributes: str) -> str:
     """What a presentation node is told by: the tag and its class names without digits."""
-    m = re.search(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", attributes) if "class" in attributes else None
-    return f"{tag}.{re.sub(r'[0-9]+', '', m[1] or m[2] or '')}" if m else tag
+    m = re.search(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", attributes) if "class" in attributes else None
+    return f"{tag}.{re.sub(r'[0-9]+', '', m[1] or m[2] or m[3] or '')}" if m else tag
 
 
 class _Node:
