@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from casebook.llm.store import process_cache
+from casebook.llm.store import process_cache, small_batches
 
 # The pattern that cuts a text before merging, and white space as that pattern means it.
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
            rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-CACHED_UNITS = 200_000
+CACHED_UNITS = 150_000
 CACHED_LENGTH = 64
 
 
@@ -235,7 +235,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
                 values = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
                 yield _with_column(batch, ids, pa.ListArray.from_arrays(pa.array(ends), values), names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "decoded", rows: int = 500) -> DataFrame:
@@ -258,7 +258,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "d
                 ends = np.append(0, np.cumsum(sizes)).astype(np.int64)
                 yield _with_column(batch, text, pa.array(codec.decode_all(values, ends), pa.string()), names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list:

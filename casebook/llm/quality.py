@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.store import written
+from casebook.llm.store import small_batches, written
 
 DIM = 32  # length of every vector
 WORD_SLOTS, SHAPE_SLOTS = 8192, 1024  # words and shapes are hashed to so many vectors
@@ -20,8 +20,8 @@ NONZERO = 4  # entries of an index vector that are +1 or -1
 REACH = 2  # words on either side that make up a word's context
 HIDDEN = 32
 TRAIN_ROWS = 20_000  # the network is fitted on at most so many labelled documents
-CACHED_WORDS = 300_000
-CHUNK = 200_000  # words handled at once
+CACHED_WORDS = 150_000
+CHUNK = 100_000  # words handled at once
 
 
 class _Slots(dict):
@@ -96,7 +96,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(met), *[pa.array(sums[met, j]) for j in range(DIM)]],
                                          names=["slot", *[f"c{j}" for j in range(DIM)]])
 
-    parts = docs.select(text).mapInArrow(run, "slot long, " + ", ".join(f"c{j} long" for j in range(DIM)))
+    parts = small_batches(docs.select(text)).mapInArrow(run, "slot long, " + ", ".join(f"c{j} long" for j in range(DIM)))
     return parts.groupBy("slot").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(DIM)])
 
 
@@ -193,7 +193,7 @@ def _map_rows(docs: DataFrame, text: str, schema: str, name: str, per_chunk) ->
             columns = [part.column(part.schema.names.index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, per_chunk(words, shapes, sizes)], names=[*rest, name])
 
-    return docs.select(*rest, text).mapInArrow(run, fields)
+    return small_batches(docs.select(*rest, text)).mapInArrow(run, fields)
 
 
 def train(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.store import written
+from casebook.llm.store import small_batches, written
 
 # Elements by what HTML says about them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,7 +212,7 @@ def style_tree(pages: DataFrame, text: str = "html", url: str = "url") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (
                 paths, shapes, contents)]], names=["host", "path", "shape", "content"])
 
-    rows = pages.select(host_of(F.col(url)).alias("host"), text).mapInArrow(
+    rows = small_batches(pages.select(host_of(F.col(url)).alias("host"), text)).mapInArrow(
         features, "host string, path long, shape long, content long")
     # the two features are counted apart, as (host, path, kind, feature)
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("feature")),
@@ -279,4 +279,4 @@ def extract(pages: DataFrame, text: str = "html", url: str = "url", out: str = "
                 yield pa.RecordBatch.from_arrays([*[columns[c] for c in names], pa.array(texts, pa.string())],
                                                  names=[*names, out])
 
-    return joined.select(*names, "_dull").mapInArrow(run, schema)
+    return small_batches(joined.select(*names, "_dull")).mapInArrow(run, schema)

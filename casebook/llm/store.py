@@ -33,6 +33,12 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``; rows go to Python in batches of at most ``rows`` from here on, since texts can be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     return sys.modules.setdefault("_casebook_process_cache", types.ModuleType("_casebook_process_cache")).__dict__
