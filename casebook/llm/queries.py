@@ -42,8 +42,8 @@ def op1_minhash_near_dedup(spark, folder):
 def op2_bpe(spark, folder):
     from casebook.llm import bpe
 
-    ids = bpe.encode(table(spark, folder, "documents", "doc_id", "text"), vocabulary()).select("doc_id", "ids")
-    return bpe.decode(ids, vocabulary()).select("doc_id", *bpe.digests(ids))
+    coded = bpe.encode_and_decode(table(spark, folder, "documents", "doc_id", "text"), vocabulary())
+    return coded.select("doc_id", *bpe.digests(coded))
 
 
 @query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL

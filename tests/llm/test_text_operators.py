@@ -56,6 +56,8 @@ def test_bpe_on_odd_texts(spark, library):
     for r in found:
         want = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == want and r["decoded"] == library.decode(want, skip_special_tokens=False)
+    once = bpe.encode_and_decode(df, vocabulary()).select("doc_id", "ids", "decoded").collect()
+    assert sorted(map(tuple, once)) == sorted((r["doc_id"], r["ids"], r["decoded"]) for r in found)
     assert bpe.encode(df.limit(0), vocabulary()).count() == 0
 
 
