@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +39,16 @@ def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on
     key is hot on either side (``hot``, from :func:`hot_hashes`), the time line is cut into ranges instead.
     """
     by, ties = as_list(by), list(ties) or list(columns)
+    # an event without key or time is before nothing, and a row without either has nothing before it
+    for c in (*by, on):
+        right = right.filter(F.col(c).isNotNull())
+    asks = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, on)])
+    nothing = left.filter(~asks).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns])
+    left = left.filter(asks)
     if hot is None:
         hot = hot_hashes(left.select(*by).unionAll(right.select(*by)), by)
     if hot:
-        return _latest_in_ranges(left, right, by, on, columns, ties, strict)
+        return _latest_in_ranges(left, right, by, on, columns, ties, strict).unionByName(nothing)
     events = right.select(*by, on, F.struct(*columns).alias("_payload"), F.struct(*ties).alias("_tie"),
                           F.lit(0).alias("_asked"))
     stacked = left.withColumn("_asked", F.lit(1)).unionByName(events, allowMissingColumns=True)
@@ -49,7 +56,8 @@ def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on
     side = F.col("_asked").desc() if strict else F.col("_asked").asc()
     so_far = Window.partitionBy(*by).orderBy(on, side, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = stacked.withColumn("_found", F.last("_payload", ignorenulls=True).over(so_far))
-    return found.filter(F.col("_asked") == 1).select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
+    found = found.filter(F.col("_asked") == 1)
+    return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns]).unionByName(nothing)
 
 
 def _latest_in_ranges(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: Sequence[str],

@@ -50,7 +50,7 @@ def within_distance(left: DataFrame, right: DataFrame, km: float, left_id: str,
             F.greatest(F.floor(360 / half).cast("long"), F.lit(1).cast("long")))
 
     def strip(longitude: Column, n: Column) -> Column:
-        return F.least(F.floor((longitude + 180) / 360 * n).cast("long"), n - 1)
+        return F.least(F.floor(F.pmod(longitude + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
 
     def placed(df, *columns):
         return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*columns)

@@ -93,7 +93,8 @@ def summarise(events: DataFrame, log: EventLog, aggregates: Sequence[Column], ga
     hot = hot_hashes(events, log.key) if hot is None else hot
     if hot:
         cases = events.groupBy(log.key).agg(*aggregates)
-        return cases.join(last_gap(events, log, gap_name), log.key, "left")
+        gaps = last_gap(events, log, gap_name).withColumnRenamed(log.key, "_gap_key")
+        return cases.join(gaps, F.col(log.key).eqNullSafe(F.col("_gap_key")), "left").drop("_gap_key")
     gap = F.col(log.time) - F.lag(log.time).over(Window.partitionBy(log.key).orderBy(log.time))
     # of several events at the last time, all but one follow with gap 0
     last = F.max_by("_gap", F.struct(log.time, -F.col("_gap"))) / DAY
@@ -119,7 +120,7 @@ def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | N
     inside = Window.partitionBy("_bucket", log.key).orderBy(log.time)
     previous = F.coalesce(
         F.lag(log.time).over(inside),
-        F.when(F.col(f"_carry.end.{log.key}") == F.col(log.key), F.col(f"_carry.end.{log.time}")),
+        F.when(F.col(f"_carry.end.{log.key}").eqNullSafe(F.col(log.key)), F.col(f"_carry.end.{log.time}")),
     )
     return with_range_value(ranged, carried, "_carry").select(
         log.key, log.time, "n_events", (F.col(log.time) - previous).alias("gap")
@@ -175,7 +176,7 @@ def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Calla
         "_bucket", F.lag(F.struct(log.key, *fold)).over(Window.orderBy("_bucket")).alias("end")
     )
     earlier = Window.partitionBy("_bucket", log.key).orderBy(log.time).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col(f"_carry.end.{log.key}") == F.col(log.key)
+    same = F.col(f"_carry.end.{log.key}").eqNullSafe(F.col(log.key))
 
     def prior(name, f):
         inside, carry = f(name).over(earlier), F.when(same, F.col(f"_carry.end.{name}"))

@@ -45,4 +45,6 @@ def read_fold_scores(spark: SparkSession, paths: list[str], schema: StructType |
                      fold_pattern: str = r"fold[_=](\d+)") -> DataFrame:
     """Stack per-fold score files; the fold number comes from each file's own path."""
     scores = read_csv(spark, paths, schema)
-    return scores.withColumn("fold", F.regexp_extract(F.input_file_name(), fold_pattern, 1).cast("int"))
+    # the last part of the path that names a fold; a path without one fails the cast below
+    fold = F.regexp_extract(F.input_file_name(), rf"^.*(?:^|/)[^/]*?{fold_pattern}[^/]*(?:/[^/]*)?$", 1)
+    return scores.withColumn("fold", fold.cast("int"))
