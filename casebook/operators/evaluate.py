@@ -114,8 +114,14 @@ def _gini(ranked: DataFrame) -> Column:
     return (summed - (n + 1) / 2) / n
 
 
+def _labelled(scored: DataFrame) -> DataFrame:
+    """Rows with both a prediction and an observed value; the others say nothing about a model."""
+    return scored.filter(F.col(PREDICTED).isNotNull() & F.col(OBSERVED).isNotNull())
+
+
 def gini(scored: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """One row: ``gini`` and ``normalised_gini``. Equal predictions are ordered by ``ties``, then by observed."""
+    scored = _labelled(scored)
     rows = scored.select((-F.col(PREDICTED)).alias("_falling"), *ties, OBSERVED)
     own = rank_table(rows, ["_falling", *[t for t in ties if t != OBSERVED], OBSERVED])
     best = rank_table(scored.select((-F.col(OBSERVED)).alias("_falling"), OBSERVED), ["_falling", OBSERVED])
@@ -125,7 +131,7 @@ def gini(scored: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """One row: the area under the ROC curve by the rank sum; null when only one class is there."""
-    ranked = rank_table(scored, PREDICTED, positives=OBSERVED)
+    ranked = rank_table(_labelled(scored), PREDICTED, positives=OBSERVED)
     positives = F.max("total_positives").cast("double")
     negatives = F.max("total") - positives
     rank_sum = F.sum(F.col("positives") * (F.col("before") + (F.col("cnt") + 1) / 2))
@@ -151,7 +157,7 @@ def precision_recall(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     label = threshold_label(threshold)
     hits = F.sum(label * F.col(OBSERVED))
     zero = F.lit(0.0)
-    return scored.agg(
+    return _labelled(scored).agg(
         F.coalesce(F.try_divide(hits, F.sum(label)), zero).alias("precision"),
         F.coalesce(F.try_divide(hits, F.sum(OBSERVED)), zero).alias("recall"),
     )
@@ -161,7 +167,7 @@ def regression_metrics(scored: DataFrame) -> DataFrame:
     """One row: mse, rmse, mae and r2 (null when observed does not vary)."""
     error = F.col(PREDICTED) - F.col(OBSERVED)
     mse = F.avg(error * error)
-    return scored.agg(
+    return _labelled(scored).agg(
         mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(error)).alias("mae"),
         (1 - F.try_divide(mse, F.var_pop(OBSERVED))).alias("r2"),
     )

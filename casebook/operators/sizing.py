@@ -131,7 +131,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how:
     if not hot:
         return _join(rows, table, on, how, null_safe)
     types = dict(rows.dtypes)
-    table = table.withColumns({c: F.col(c).cast(types[c]) for c in on})
+    table = _typed(table, on, types)
     n = _salts(on, hot)
     rows = rows.withColumn("_salt", _own_salt(rows, n))
     table = table.withColumn("_salt", F.explode(_every_salt(n)))
@@ -146,7 +146,7 @@ def pair_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
     """
     on = as_list(on)
     types = dict(left.dtypes)
-    right = right.withColumns({c: F.col(c).cast(types[c]) for c in on})
+    right = _typed(right, on, types)
     both = [hot_hashes(side, on) for side in (left, right)]
     hot = {h: math.ceil(math.sqrt(max(found.get(h, 1) for found in both))) for h in {**both[0], **both[1]}}
     if not hot:
@@ -157,6 +157,15 @@ def pair_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
     return left.join(right, [*on, "_line", "_column"]).drop("_line", "_column")
 
 
+def _typed(table: DataFrame, on: list[str], types: Mapping[str, str]) -> DataFrame:
+    """Keys in the types of the other side, so that equal keys hash alike; a key that has no such value matches nothing."""
+    for c in on:
+        if dict(table.dtypes)[c] != types[c]:
+            table = table.filter(F.col(c).isNull() | F.col(c).try_cast(types[c]).isNotNull())
+            table = table.withColumn(c, F.col(c).try_cast(types[c]))
+    return table
+
+
 def _salts(on: list[str], hot: Mapping[int, int]) -> Column:
     """Number of salts of a row's key: 1 unless it is hot."""
     tiers: dict[int, list[int]] = {}
@@ -169,7 +178,9 @@ def _salts(on: list[str], hot: Mapping[int, int]) -> Column:
 
 def _own_salt(df: DataFrame, n: Column) -> Column:
     # The partition id keeps equal copies of one row apart; both inputs of the hash survive a retried task.
-    drawn = F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), n)
+    # Maps cannot be hashed; rows that differ in one only share a salt.
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    drawn = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), n)
     return F.when(n > 1, drawn).otherwise(0).cast("int")
 
 
