@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import __spark_entry__ as contract
+from catalog import QUERIES
 
 
 def test_entry_runs(spark):
@@ -12,5 +13,6 @@ def test_entry_runs(spark):
 
 def test_every_sql_has_its_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(QUERIES) - set(contract.oracle_sql()) == {
         "oof_scores", "fold_r2", "importance_table", "test_scores"}
