@@ -33,9 +33,10 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``; rows go to Python in batches of at most ``rows`` from here on, since texts can be long."""
+def small_batches(df: DataFrame, rows: int = 1000, size: str = "4m") -> DataFrame:
+    """``df``; rows go to Python in batches of about ``size`` and at most ``rows`` from here on: texts can be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
 
 
