@@ -52,19 +52,20 @@ def target_encode(df: DataFrame, c: str, y: str, fold_col: str | None = None, na
     """Add the mean response of the row's category; null stays null.
 
     With ``fold_col`` a row sees only the other folds, so its own response cannot leak in; a category that occurs in
-    one fold only gives null.
+    one fold only gives null. A table of means by category and fold is broadcast only where the caller says ``small``,
+    as its size is not that of the categories alone.
     """
     name = name or f"mean_response_rate_{c}"
-    small = _is_small(df, c, small)
     if fold_col is None:
-        return lookup_join(df, target_table(df, c, y, name), c, "left", small=small)
+        return lookup_join(df, target_table(df, c, y, name), c, "left", small=_is_small(df, c, small))
+    small = bool(small)
     folds = (
         df.filter(F.col(c).isNotNull()).groupBy(c, fold_col)
         .agg(F.sum(y).alias("_sum"), F.count(y).alias("_n"))
     )
     # one row per category and fold by now
     whole = Window.partitionBy(c)
-    others = F.try_divide(F.sum("_sum").over(whole) - F.col("_sum"), F.sum("_n").over(whole) - F.col("_n"))
+    others = F.try_divide(F.sum("_sum").over(whole) - F.coalesce("_sum", F.lit(0)), F.sum("_n").over(whole) - F.col("_n"))
     return lookup_join(df, folds.select(c, fold_col, others.alias(name)), [c, fold_col], "left", small=small)
 
 

@@ -258,6 +258,28 @@ def test_model_table_keeps_cases_without_features(spark):
     assert training.feature_columns(table, "id", "response") == ["a", "b"]
 
 
+def test_rates_see_no_label_of_a_case_to_score(spark):
+    cut = spark.createDataFrame([(i, 0, "1 low" if i % 3 else "2 high") for i in range(12)], "id long, t long, severity string")
+    training = spark.createDataFrame([(i, i % 2) for i in range(8)], "id long, cross_validation_fold_0 int")
+    log = EventLog("id", "t")
+    few, more = ([(i,) for i in x] for x in ((1, 2, 3), (1, 2, 3, 9, 10)))
+    one, two = (rows(features.status_history(cut, spark.createDataFrame(x, "id long"), log, training=training))
+                for x in (few, more))
+    assert one == two
+    rate = {r["id"]: r["mean_response_rate_initial_case_severity_level"] for r in features.status_history(
+        cut, spark.createDataFrame(few, "id long"), log, training=training).collect()}
+    # level 1 in training: 1, 2, 4, 5, 7; of these 1 and 2 are positive
+    assert rate[10] == 2 / 5 and rate[1] == 1 / 2 and rate[2] == 1 / 3
+
+
+def test_models_see_decimals_and_booleans(spark):
+    table = spark.createDataFrame([(1, 0.5, True, "x")], "id long, response double, flag boolean, s string")
+    table = table.selectExpr("*", "CAST(1.5 AS DECIMAL(8, 2)) AS price", "1 AS n")
+    assert training.feature_columns(table, "id", "response") == ["flag", "price", "n"]
+    numbers = training._numbers(table, ["flag", "price"]).select("flag", "price")
+    assert rows(numbers) == [(1.0, 1.5)]
+
+
 # ---- evaluation
 
 def scored(spark, data):
