@@ -184,3 +184,41 @@ def test_digests_of_bpe(spark):
     ids = df.first()["ids"]
     assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert r["decoded_sha256"] == hashlib.sha256(b"ab").hexdigest()
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_links_between_blocks_of_a_bucket_are_kept(spark, monkeypatch, lost):
+    """Chains whose texts only resemble their neighbours, in buckets of many blocks, against all pairs.
+
+    With ``lost`` all blocks but the first of a bucket are left out, so that their links come from the rare shingles.
+    """
+    import random
+
+    from casebook.llm import neardup
+
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for chain in range(6):
+        words = [f"w{chain}x{i}" for i in range(400)]
+        for start in range(0, 100, 4):
+            rows.append(" ".join(common + words[start:start + 90]))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    if lost:
+        whole = neardup._blocks
+        monkeypatch.setattr(neardup, "_blocks", lambda members: whole(members).where("block = 0"))
+    idf = neardup.inverse_frequencies(neardup.document_frequencies(df))
+    sets = [dict(zip(h.tolist(), w.tolist(), strict=True)) for h, w in neardup._weighted_sets(rows, idf)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            low = sum(min(w, sets[j].get(h, 0)) for h, w in sets[i].items())
+            if low >= (0.8 - 1e-9) * (sum(sets[i].values()) + sum(sets[j].values()) - low) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert len(set(root)) < len(rows)
+    assert [found[i] for i in range(len(rows))] == root
