@@ -154,20 +154,24 @@ def _fill_hashes(root: _Node, pieces) -> None:
                 node = node.parent
 
 
-def _main_nodes(pieces) -> set[int]:
-    """Elements that hold the article: article or main if there are any with text, and all around and inside them."""
-    kept: set[int] = set()
+def _main_nodes(pieces) -> tuple[set[int], set[int]]:
+    """Elements in article or main that have text, and those that hold an article: article, main and all around them."""
+    inside: set[int] = set()
+    holders: set[int] = set()
     for node, text in pieces:
         if text is None or text.isspace():
             continue
-        chain, inside = [], False
+        chain, outermost = [], 0
         while node is not None:
-            chain.append(id(node))
-            inside |= node.tag in ("article", "main")
+            chain.append(node)
+            if node.tag in ("article", "main"):
+                outermost = len(chain)
+                holders.add(id(node))
             node = node.parent
-        if inside:
-            kept.update(chain)
-    return kept
+        if outermost:
+            inside.update(id(n) for n in chain[:outermost])
+            holders.update(id(n) for n in chain[outermost:])
+    return inside, holders
 
 
 def host_of(url):
@@ -190,12 +194,14 @@ def style_tree(pages: DataFrame, text: str = "html", url: str = "url") -> DataFr
 
     Pages of a host are laid over each other; a style node is a path of tags and class names. Its presentation importance
     is the entropy of its child sequences over the pages that have it, its content importance the entropy of its texts,
-    each over the logarithm of the number of pages; a node is as important as the larger of the two. Counting is one
-    aggregation on (host, path, feature) and one on (host, path), so a host with any share of the pages is spread.
+    each over the logarithm of the number of pages; a node is as important as the larger of the two. Pages of a host with
+    the same text count once, so copies of an article do not make it a part of the site. Counting is one aggregation on
+    (host, path, page), one on (host, path, feature) and one on (host, path), so a host with any share of the pages is
+    spread.
     """
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, shapes, contents = [], [], [], []
+            hosts, paths, shapes, contents, whole = [], [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root, pieces = parse(page)
                 _fill_hashes(root, pieces)
@@ -209,11 +215,12 @@ def style_tree(pages: DataFrame, text: str = "html", url: str = "url") -> DataFr
                     paths.append(path)
                     shapes.append(shape)
                     contents.append(content)
+                    whole.append(root.hash)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (
-                paths, shapes, contents)]], names=["host", "path", "shape", "content"])
+                paths, shapes, contents, whole)]], names=["host", "path", "shape", "content", "page"])
 
     rows = small_batches(pages.select(host_of(F.col(url)).alias("host"), text)).mapInArrow(
-        features, "host string, path long, shape long, content long")
+        features, "host string, path long, shape long, content long, page long").distinct()
     # the two features are counted apart, as (host, path, kind, feature)
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("feature")),
                     F.struct(F.lit(1).alias("kind"), F.col("content").alias("feature")))
@@ -227,26 +234,31 @@ def style_tree(pages: DataFrame, text: str = "html", url: str = "url") -> DataFr
 def _article(page: str | None, unimportant: frozenset) -> str:
     """Text of the branches that stay, a line per block."""
     root, pieces = parse(page)
-    kept = _main_nodes(pieces)
-    lines, now, stays = [], [], {}
-    for node, text in pieces:
-        if text is None:
-            line = " ".join("".join(now).split())
-            now = []
-            if line:
-                lines.append(line)
-            continue
-        if id(node) not in stays:
-            good, at = not kept or id(node) in kept, node
-            while at is not None and good:
-                # what repeats over a site goes, but never the parts that hold an article, nor paragraphs in it
-                good = not (at.path in unimportant and id(at) not in kept)
-                at = at.parent
-            stays[id(node)] = good
-        if stays[id(node)]:
-            now.append(text)
-    line = " ".join("".join(now).split())
-    return "\n".join([*lines, line] if line else lines)
+    inside, holders = _main_nodes(pieces)
+
+    def text_of(dull: frozenset) -> str:
+        lines, now, stays = [], [], {}
+        for node, text in pieces:
+            if text is None:
+                line = " ".join("".join(now).split())
+                now = []
+                if line:
+                    lines.append(line)
+                continue
+            if id(node) not in stays:
+                good, at = not inside or id(node) in inside, node
+                while at is not None and good:
+                    # what repeats over a site goes, but never the elements that hold an article as a whole
+                    good = not (at.path in dull and id(at) not in holders)
+                    at = at.parent
+                stays[id(node)] = good
+            if stays[id(node)]:
+                now.append(text)
+        line = " ".join("".join(now).split())
+        return "\n".join([*lines, line] if line else lines)
+
+    # an article that is the same on all pages is still the article
+    return text_of(unimportant) or (text_of(frozenset()) if inside and unimportant else "")
 
 
 def extract(pages: DataFrame, text: str = "html", url: str = "url", out: str = "text") -> DataFrame:
@@ -254,9 +266,11 @@ def extract(pages: DataFrame, text: str = "html", url: str = "url", out: str = "
 
     First the style trees of all sites are built, then each page loses: elements that are never article (menus, footers,
     forms, scripts and the like, told by tag, role, or class and id words), everything outside ``article`` and ``main``
-    where a page has them, and elsewhere the branches whose style node is on ``LEAST_PAGES`` pages of the site or more
-    and has an importance under ``IMPORTANCE``. Only such nodes travel to the pages, as one small row per host; a host's
-    nodes are bounded by its templates, and hosts join without a broadcast hint.
+    where a page has them, and everywhere, inside these too, the branches whose style node is on ``LEAST_PAGES`` different
+    pages of the site or more and has an importance under ``IMPORTANCE``. The ``article`` and ``main`` elements themselves
+    and what is around them are not judged, and where nothing in them would be left all of it stays. Only such nodes
+    travel to the pages, as one small row per host; a host's nodes are bounded by its templates, and hosts join without a
+    broadcast hint. Siblings of one tag and class are one style node: a repeated paragraph among others of its kind stays.
 
     Blocks come in page order, one line each; character references are decoded, runs of white space inside a block
     become one space. A null, empty or textless page gives an empty text. Pages without a host share one tree. Malformed

@@ -174,6 +174,20 @@ def test_what_repeats_over_a_site_goes_but_not_articles(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("holder", ["article", "main", "main><article"])
+def test_what_repeats_without_a_name_goes_inside_articles_too(spark, holder):
+    end = "".join(f"</{tag}>" for tag in reversed(holder.split("><")))
+    inner = "<div class=x12><p>Follow us for more</p></div><h2>Title {i}</h2><section><p>Body {i}</p></section><ul><li>Terms apply</ul>"
+    pages = [(i, f"http://s.example/{i}", f"<body><div>Top {i}</div><{holder}>{inner.format(i=i)}{end}</body>") for i in range(12)]
+    # copies of one page do not make its article a part of the site, and few pages are not judged
+    pages += [(100 + i, f"http://s.example/{i}", pages[0][2]) for i in range(200)]
+    pages += [(500 + i, f"http://u.example/{i}", pages[i][2]) for i in range(7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(df).collect()}
+    want = {i: f"Title {i}\nBody {i}" for i in range(12)} | {100 + i: "Title 0\nBody 0" for i in range(200)}
+    assert got == want | {500 + i: f"Follow us for more\nTitle {i}\nBody {i}\nTerms apply" for i in range(7)}
+
+
 def test_quality_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = QUERIES["op9_quality"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
