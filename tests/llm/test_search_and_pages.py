@@ -117,6 +117,20 @@ def test_vector_links_equal_all_pairs(spark, monkeypatch, per_list, block):
     assert pq_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rank", [2, 4])
+def test_no_link_across_lists_is_lost_as_registered(spark, monkeypatch, rank):
+    monkeypatch.setattr(pq_dedup, "PER_LIST", 20)
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(1200, rank)) @ rng.normal(size=(rank, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in pq_dedup.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(1200)] == linked.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(1200)] == _components(1200, list(zip(*np.nonzero(linked), strict=True)))
+
+
 def test_neighbours_recall_order_and_scores(spark):
     x = np.random.default_rng(3).normal(size=(1500, 24))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1500, x[100].tolist()), (1501, None), (1502, [0.0] * 24), (None, x[5].tolist())]
