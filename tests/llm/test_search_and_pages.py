@@ -68,6 +68,26 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
     assert [i for i in got if got[i]["kept"]] and sum(r["kept"] for r in got.values()) == len(set(want))
 
 
+@pytest.mark.parametrize("share", [3, 2])
+def test_near_copies_of_a_large_group_link_whatever_its_size(spark, share):
+    rng = random.Random(6)
+    n, base = 3000, [f"b{i}" for i in range(124)]
+    texts = [" ".join(base)] * (n // share - 40)
+    for i in range(40):  # two runs of five shingles differ, then one more: plain Jaccard from 0.80 to 0.85
+        copy = list(base)
+        for at in ([20, 80] if i % 2 else [20, 81, 123, 0, 1]):
+            copy[at] = f"e{i}x{at}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(n - len(texts))]
+    words = neardup._Words()
+    sets = [set(neardup.shingles(t, words)[0].tolist()) for t in texts[:n // share]]
+    alike = [len(sets[0] & x) >= 0.8 * len(sets[0] | x) for x in sets]
+    assert sum(alike) == n // share
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert {got[i] for i in range(n // share)} == {0} and len(set(got.values())) == n - n // share + 1
+
+
 def test_near_duplicates_of_repeated_rows_null_keys_and_nothing(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (3, None), (None, "")], "doc_id long, text string")
