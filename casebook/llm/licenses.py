@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import textwrap
+from collections.abc import Mapping, Sequence
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +70,59 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+SHORT = 3000  # texts of fewer characters are found however their lines are wrapped
+_COPYRIGHT_LINE = re.compile(r"^[^a-z\n]*(?:copyright|\(c\)|©)[^\n]*(?:\n|$)", re.I | re.M)
+
+
+def _layouts(text: str) -> list[str]:
+    """A text as it stands, with a line per paragraph, and a short one wrapped at every usual width.
+
+    Wrapping matters as ``normalised`` drops any line that starts with "copyright", also one of a licence's own
+    sentences. Layouts that leave the same words are one.
+    """
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    made = [text, "\n\n".join(paragraphs) + "\n"]
+    for width in range(50, 121) if len(text) < SHORT else ():
+        for indent in (0, 2, 3, 4):
+            # the numbered paragraphs of a licence are indented, the others are not
+            made.append("\n\n".join(textwrap.fill(
+                p, width, subsequent_indent=" " * indent * p[0].isdigit(), break_long_words=False, break_on_hyphens=False)
+                for p in paragraphs if p) + "\n")
+    return list({" ".join(_COPYRIGHT_LINE.sub("\n", t).split()): t for t in made}.values())
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(name, text) of whole licences: the files of ``license_texts`` and the longer texts of ``KNOWN``.
+
+    Each comes with and without its title, with other usual titles, with and without what follows its terms (how to
+    apply them, exhibits), and in the layouts of ``_layouts``. Not one is a single line, so none is a notice.
+    """
+    texts = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(
+        (files(__package__) / "license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+    texts += [(n, t) for n, t in KNOWN if "\n" in t]
+    titles = {"MIT": ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"), "ISC": ("The ISC License",),
+              "MIT-0": ("MIT-0",), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+              "BSD-3-Clause": ("The 3-Clause BSD License", "New BSD License"), "Unlicense": ("The Unlicense",),
+              "BSD-2-Clause": ("The 2-Clause BSD License", "Simplified BSD License")}
+    titled = {"Unlicense", "0BSD"}  # these texts start without a title
+    made = []
+    for name, text in texts:
+        text = text.strip("\n").replace("\r\n", "\n") + "\n"
+        notice = text.lstrip().startswith("Licensed under")
+        bare = text if name in titled or notice else re.split(r"\n\s*\n", text, maxsplit=1)[1]
+        heads = [text, bare, *[f"{t}\n\n{bare}" for t in titles.get(name, ())]]
+        if name in titles:
+            # what stays of "Copyright (c) ... / All rights reserved." in two lines
+            heads += [t.replace(bare, "All rights reserved.\n\n" + bare) for t in heads]
+        for whole in dict.fromkeys(heads):
+            end = re.search(r"END OF TERMS AND CONDITIONS\n|^Exhibit A - |^\s+How to Apply These Terms", whole, re.M)
+            cuts = [whole] if end is None or notice else [
+                whole, whole[:end.start()] + "\n", whole[:end.end()] + "\n" if "END" in end[0] else whole]
+            made += [(name, t) for cut in dict.fromkeys(cuts) for t in _layouts(cut)]
+    return tuple(made)
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words with single spaces between them.
 
@@ -90,15 +147,17 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "license", notices: str = "notices",
-         known: tuple[tuple[str, str], ...] | Mapping = KNOWN) -> DataFrame:
+         known: tuple[tuple[str, str], ...] | Mapping = KNOWN,
+         full: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``df`` with the licence whose text a whole document is, and the licences whose notice one of its lines is.
 
     ``out`` is null where the whole text is no known licence; ``notices`` is a sorted array, empty where no line is one.
-    The digests of ``known``, a fixed list in the program, are joined by hash; the documents are not shuffled. Null
+    Whole documents are looked up in ``known`` and in ``full``, by default ``full_texts()``; lines in ``known`` alone.
+    Their digests, fixed lists in the program, are joined by hash; the documents are not shuffled. Null
     and empty texts, and texts without letters or digits, match nothing. Existing columns of these names are replaced.
     """
     pairs = tuple(known.items()) if isinstance(known, Mapping) else tuple(known)
-    lookup = known_digests(df.sparkSession, pairs).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    lookup = known_digests(df.sparkSession, [*pairs, *(full_texts() if full is None else full)]).where(F.col("digest") != F.sha2(F.lit(""), 256))
     base = df.drop(out, notices).withColumn("_digest", digest(F.col(text)))
     # the list is part of the program, so its size is known before any data is
     joined = base.join(F.broadcast(lookup.withColumnRenamed("digest", "_digest").withColumnRenamed("license", out)),

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -125,6 +127,39 @@ def test_licences_by_whole_text_and_by_line(spark):
                      6: (None, []), 7: ("CC-BY-NC-4.0", ["CC-BY-NC-4.0"])}
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_whole_licences_in_their_usual_forms(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    full = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    apache, bsd = full["Apache-2.0"], full["BSD-3-Clause"]
+    wrapped = "\n\n".join(textwrap.fill(p, 78, subsequent_indent="   " if p[0].isdigit() else "") for p in bsd.strip().split("\n\n"))
+    head, rest = wrapped.split("\n\n", 1)
+    mit = licenses.KNOWN[0][1].split("\n\n", 1)[1]
+    cases = [*full.items(), ("Apache-2.0", apache[:apache.index("APPENDIX")]),
+             ("Apache-2.0", apache[:apache.index("END OF TERMS")]),
+             ("GPL-3.0", full["GPL-3.0"].split("\n\n", 1)[1]), ("BSD-3-Clause", wrapped),
+             ("BSD-3-Clause", f"{head}\n\nCopyright (c) 2021, Some One\nAll rights reserved.\n\n{rest}"),
+             ("BSD-3-Clause", f"Copyright (c) 2021, Some One\n\n{rest}"), ("ISC", ISC), ("ISC", "ISC License\n\nCopyright 2020 X\n\n" + ISC),
+             ("MIT", "Copyright (c) 2020 X\n\n" + mit), ("MIT", "The MIT License (MIT)\n\n" + textwrap.fill(mit, 72)),
+             (None, full["GPL-3.0"][:20000]), (None, bsd + " more")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id int, text string")
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [found[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def _check_mix(rows, share=1.5):
     words = Counter()
     for r in rows:
