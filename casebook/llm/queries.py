@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.llm.vectors import finite
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -217,3 +219,62 @@ def op10_chat_rotation(spark, folder):
     turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
     return perspectives(turns).withColumn("masks", masks)
+
+
+@query()
+def op11_whitening(spark, folder):
+    from casebook.llm import whitening
+
+    # beyond a long's range an entry is cut, so that no row is lost
+    fixed = F.transform("embedding", lambda c: F.floor(
+        F.greatest(F.least(64 * c.cast("double"), F.lit(4e18)), F.lit(-4e18))) + F.lit(1_000_000).cast("long"))
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding").where(finite("embedding"))
+    longest = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    zeros = F.array_repeat(F.lit(0).cast("float"), F.lit(longest) - F.size("embedding"))  # what a shorter vector lacks
+    rows = rows.withColumn("embedding", F.concat("embedding", zeros)).select("vec_id", fixed.alias("x"))
+    model = whitening.fit(rows, "x")
+    columns = ("vec_id long, component int, n long, deviation long, whitened double, explained double, "
+               "identity_error double")
+    if model is None:
+        return spark.createDataFrame([], columns)
+    k = min(32, model.dims)
+    # (n * x - S) of each entry, as n * (x - base) - (S - n * base); null where it does not fit a long
+    base = F.array(*[F.lit(int(b)).cast("long") for b in model.base])
+    left = F.array(*[F.lit(s - model.n * int(b)).cast("long") for s, b in zip(model.sums, model.base, strict=True)])
+    n = F.lit(model.n).cast("long")
+
+    def part(x, b, s):
+        return F.try_subtract(F.try_multiply(n, F.try_subtract(x, b)), s)
+
+    terms = F.transform(F.arrays_zip("x", base.alias("b"), left.alias("s")),
+                        lambda t: part(t["x"], t["b"], t["s"]))
+    deviation = F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: F.try_add(a, F.try_multiply(t, t)))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained[:k]])
+    error = whitening.identity_error(rows, model, "x")
+    return whitening.whiten(rows.withColumn("deviation", deviation), model, "x").select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), n.alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+        list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+    n AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score,
+        s.score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, p.other
+            ORDER BY s.score DESC, s.other))::INTEGER AS rank
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op13_hard_negatives(spark, folder):
+    from casebook.llm.hard_negatives import mine
+
+    fixed = F.transform("embedding", lambda c: F.floor(256 * c.cast("double")))  # beyond a long's range it is cut
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label").where(finite("embedding")).select(
+        "vec_id", label.alias("label"), fixed.alias("x"))
+    return mine(rows, rows.where("vec_id % 100 = 0"), "x")
