@@ -278,3 +278,15 @@ def op13_hard_negatives(spark, folder):
     rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label").where(finite("embedding")).select(
         "vec_id", label.alias("label"), fixed.alias("x"))
     return mine(rows, rows.where("vec_id % 100 = 0"), "x")
+
+
+@query()
+def op12_class_lm(spark, folder):
+    from casebook.llm import class_lm
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    model = class_lm.train(docs.where(~held_out))
+    return class_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        F.col("lm.base").alias("base_score"), F.col("lm.score").alias("score"), "lm.perplexity")
