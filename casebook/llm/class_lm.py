@@ -300,7 +300,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "lm") ->
     other words of a text go, counted, to the table of training words and come back as two sums per row.
     """
     rest = [c for c in docs.columns if c not in (text, out)]
-    rows = small_batches(docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")))
+    rows = small_batches(docs.select(F.col(f"`{text}`").alias("text"), F.struct(
+        *[F.col(f"`{c}`") for c in rest] or [F.lit(None).cast("boolean").alias("none")]).alias("row")))
     sent = docs.sparkSession.sparkContext.broadcast(
         (model.carried, model.log_count, model.classes, model.log_word, model.log_step))
     n_carried, no_end = len(model.carried), int(model.n_ends == 0)
