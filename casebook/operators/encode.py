@@ -7,14 +7,15 @@ categories salted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.operators.clean import equals
 from casebook.operators.rank import rank_distinct
-from casebook.operators.sizing import hot_hashes, lookup_join, materialise, small_columns, small_values
+from casebook.operators.sizing import (BROADCAST_BYTES, BROADCAST_ROWS, hot_hashes, lookup_join, materialise,
+                                       small_columns)
 
 
 def _is_small(df: DataFrame, c: str, small: bool | None) -> bool:
@@ -97,46 +98,66 @@ def sentinel_flag(c: str | Column, value) -> Column:
 LABEL, MEAN, MEMBER = "label_encoded_", "mean_response_rate_", "is_in_escalated_"
 
 
-def value_statistics(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
-    """Rows ``(column, value, n, mean, positives)``, values as text, for many columns in one pass.
+def label_tables(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Rows ``(column, value, code)``: the codes of :func:`label_table` for many columns from one ranking.
 
-    Written as a table, since each column's encoder reads its own part of it.
+    Values are text, and so is the order of equal frequencies.
     """
-    texts = df.select(F.col(y).alias("_y"), *[F.col(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot(["_y"], list(columns), "column", "value").filter(F.col("value").isNotNull())
-    return materialise(long.groupBy("column", "value").agg(
-        F.count("*").alias("n"), F.avg("_y").alias("mean"), F.sum("_y").alias("positives")
-    ))
+    texts = df.select(*[c.cast("string").alias(name) for name, c in columns.items()])
+    long = texts.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
+    return _ranked(long.groupBy("column", "value").agg((-F.count("*")).alias("_rarity"))).select("column", "value", "code")
 
 
-def encode_many(df: DataFrame, y: str, labels: Sequence[str] = (), means: Sequence[str] = (),
-                members: Sequence[str] = ()) -> DataFrame:
+def _ranked(statistics: DataFrame) -> DataFrame:
+    """Add ``code``, the place of a value in its column by ``_rarity`` and value."""
+    keys = ["column", "_rarity", "value"]
+    ranked = rank_distinct(statistics.withColumn("_one", F.lit(1)), keys, "_one").drop("_one", "total")
+    # one row per column
+    starts = statistics.groupBy("column").agg(F.count("*").alias("_values")).select(
+        "column", (F.sum("_values").over(Window.orderBy("column")) - F.col("_values")).alias("_start"))
+    return ranked.join(F.broadcast(starts), "column").withColumn("code", F.col("before") - F.col("_start") + 1).drop(
+        "before", "_start")
+
+
+def encode_packed(df: DataFrame, key: str, y: str, labels: Mapping[str, str] = {}, means: Mapping[str, str] = {},
+                  members: Mapping[str, str] = {}, fold: str | None = None) -> DataFrame:
     """Label codes, mean responses and membership flags (a value seen with ``y > 0``) of many columns.
 
-    Equals the single encoders above except that label ties are ordered by the value as text. One lookup per column
-    serves all of its encodings.
+    ``df`` has one row per ``key`` and is read three times: write it first. The mappings name columns and what the
+    encodings are called after their prefix. One dictionary with a row per column and value holds everything; the
+    values of all columns, one under the other, are looked up in it by a single join and gathered by key. Equal to the
+    single encoders above except that label ties are ordered by the value as text.
+
+    With ``fold``, a row sees responses of other folds only, in its means and its flags, so its own cannot leak in;
+    rows with a null ``fold`` see those of all. Null responses never count.
     """
     columns = list(dict.fromkeys([*labels, *means, *members]))
-    rows = df
-    statistics = value_statistics(df, columns, y)
-    small = small_values(statistics)
-    for c in columns:
-        table = statistics.filter(F.col("column") == c).select(F.col("value").alias("_value"), "n", "mean", "positives")
-        if c in labels:
-            table = rank_distinct(table.withColumns({"_rarity": -F.col("n"), "_one": F.lit(1)}),
-                                  ["_rarity", "_value"], "_one")
-        wanted = {}
-        if c in labels:
-            wanted[LABEL + c] = F.col("before") + 1
-        if c in means:
-            wanted[MEAN + c] = F.col("mean")
-        if c in members:
-            wanted[MEMBER + c] = (F.col("positives") > 0).cast("int")
-        table = table.select("_value", *[v.alias(k) for k, v in wanted.items()])
-        value = F.col(c).cast("string").alias("_value")
-        is_small = small.get(c, True)
-        hot = {} if is_small else hot_hashes(rows.select(value), "_value")
-        df = lookup_join(df.select("*", value), table, "_value", "left", hot, is_small).drop("_value")
-        if c in members:
-            df = df.withColumn(MEMBER + c, F.coalesce(MEMBER + c, F.lit(0)))
-    return df
+    if not columns:
+        return df
+    own = F.col(fold) if fold else F.lit(None).cast("int")
+    texts = df.select(F.col(key).alias("_key"), F.col(y).cast("double").alias("_y"), own.alias("_fold"),
+                      *[F.col(c).cast("string").alias(c) for c in columns])
+    long = texts.unpivot(["_key", "_y", "_fold"], columns, "column", "value").filter(F.col("value").isNotNull())
+    by_fold = long.groupBy("column", "value", "_fold").agg(
+        F.count("*").alias("n"), F.count("_y").alias("seen"), F.sum("_y").alias("sum"), F.count_if(F.col("_y") > 0).alias("up"))
+    # as many entries as there are folds
+    parts = F.collect_list(F.struct("_fold", "seen", "sum", "up")).alias("_parts")
+    statistics = materialise(by_fold.groupBy("column", "value").agg((-F.sum("n")).alias("_rarity"), parts))
+    entries = _ranked(statistics)
+    size = statistics.agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 64).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    found = lookup_join(long.select("_key", "_fold", "column", "value"), entries, ["column", "value"], "left", small=small)
+    others = F.filter("_parts", lambda p: F.col("_fold").isNull() | ~p["_fold"].eqNullSafe(F.col("_fold")))
+
+    def total(name: str, zero) -> Column:
+        start = F.lit(zero).cast("double" if isinstance(zero, float) else "long")
+        return F.aggregate(others, start, lambda a, p: a + F.coalesce(p[name], start))
+
+    found = found.select("_key", "column", "code", F.try_divide(total("sum", 0.0), total("seen", 0).cast("double")).alias("mean"),
+                         (total("up", 0) > 0).cast("int").alias("member"))
+    gathered = [F.max(F.when(F.col("column") == c, F.col(value))).alias(prefix + name)
+                for group, value, prefix in ((labels, "code", LABEL), (means, "mean", MEAN), (members, "member", MEMBER))
+                for c, name in group.items()]
+    wide = found.groupBy("_key").agg(*gathered)
+    done = df.join(wide, F.col(key) == F.col("_key"), "left").drop("_key")
+    return done.withColumns({MEMBER + c: F.coalesce(MEMBER + c, F.lit(0)) for c in members.values()})

@@ -36,8 +36,8 @@ def first_value(log: EventLog, value: str | Column) -> Column:
 
 def mean_gap(log: EventLog) -> Column:
     """Mean days between neighbouring events: the gaps add up to last time minus first time."""
-    gaps = F.count(log.time) - 1
-    return F.try_divide((F.max(log.time) - F.min(log.time)).cast("double"), gaps) / DAY
+    time = log.here(log.time)
+    return F.try_divide((F.max(time) - F.min(time)).cast("double"), F.count(time) - 1) / DAY
 
 
 def stats(value: str | Column) -> dict[str, Column]:
@@ -45,14 +45,18 @@ def stats(value: str | Column) -> dict[str, Column]:
     return {"average": F.avg(value), "min": F.min(value), "max": F.max(value), "standard_deviation": F.stddev(value)}
 
 
-def n_unique(value: str | Column) -> Column:
-    """Number of different values, nulls not counted."""
-    return F.count_distinct(column(value))
+def n_unique(value: str | Column, hot: bool = True) -> Column:
+    """Number of different values, nulls not counted.
+
+    ``hot`` says that a case may hold a large share of all rows. Where none does, a case's values fit a set, and the
+    aggregates need not be computed on a copy of the rows for every such column.
+    """
+    return F.count_distinct(column(value)) if hot else F.size(F.collect_set(column(value))).cast("long")
 
 
-def category_share(value: str | Column, category) -> Column:
+def category_share(value: str | Column, category, log: EventLog = EventLog()) -> Column:
     """Share of the events with one category; an event with no category counts as another."""
-    return F.avg(F.when(column(value) == F.lit(category), 1.0).otherwise(0.0))
+    return F.avg(log.here(F.when(column(value) == F.lit(category), 1.0).otherwise(0.0)))
 
 
 # ---- tables
@@ -101,6 +105,32 @@ def summarise(events: DataFrame, log: EventLog, aggregates: Sequence[Column], ga
     return events.withColumn("_gap", gap).groupBy(log.key).agg(*aggregates, last.alias(gap_name))
 
 
+def summarise_logs(events: DataFrame, key: str, time: str, tag: str,
+                   logs: Sequence[tuple[EventLog, Mapping[str, Column], str]],
+                   hot: Mapping[int, int] | None = None) -> DataFrame:
+    """One row per case from the rows of several logs stacked in one table.
+
+    Every log has its name in the column ``tag`` and comes as (log, aggregate columns by name, name of its last gap in
+    days); its ``only`` must be ``<tag> = '<name>'``. A case without rows of a log has nulls for it. Without a hot case
+    one sort on (case, log, time) serves the gaps of all logs, and a table bucketed by case needs no shuffle.
+    """
+    hot = hot_hashes(events, key) if hot is None else hot
+    plain = [F.when(F.count_if(F.expr(log.only)) > 0, column).alias(name)
+             for log, columns, _ in logs for name, column in columns.items()]
+    if hot:
+        latest_first = Window.partitionBy(key, tag).orderBy(F.col(time).desc())
+        two = events.select(key, tag, time).filter(F.col(time).isNotNull())
+        two = two.withColumn("_n", F.row_number().over(latest_first)).filter(F.col("_n") <= 2)
+        gaps = two.groupBy(key).agg(*[
+            F.when(F.count_if(F.expr(log.only)) == 2, (F.max(log.here(time)) - F.min(log.here(time))) / DAY).alias(name)
+            for log, _, name in logs]).withColumnRenamed(key, "_gap_key")
+        cases = events.groupBy(key).agg(*plain)
+        return cases.join(gaps, F.col(key).eqNullSafe(F.col("_gap_key")), "left").drop("_gap_key")
+    gap = F.col(time) - F.lag(time).over(Window.partitionBy(key, tag).orderBy(time))
+    last = [(F.max_by("_gap", log.here(F.struct(time, -F.col("_gap")))) / DAY).alias(name) for log, _, name in logs]
+    return events.withColumn("_gap", gap).groupBy(key).agg(*plain, *last)
+
+
 def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per case and time: ``n_events`` and ``gap``, the seconds since the time before (null for the first).
 

@@ -195,3 +195,16 @@ def _join(rows, table, on, how, null_safe):
     condition = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(renamed[f"_table_{c}"]) for c in on])
     joined = rows.join(renamed, condition, how)
     return joined.drop(*[f"_table_{c}" for c in on])
+
+
+def bucketed(df: DataFrame, key: str, sort: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Write a table in buckets of ``key``, sorted by key and ``sort``, in the folder the cluster names for checkpoints.
+
+    Groupings, windows and joins on the key read it without a shuffle, joins with a table of as many buckets included. A
+    bucket is read by one task, so a table with a hot key belongs into :func:`materialise`.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid4().hex}"
+    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(buckets or shuffle_partitions(df), key).sortBy(key, *sort).saveAsTable(name)
+    return spark.table(name)

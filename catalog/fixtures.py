@@ -190,6 +190,9 @@ def metadata(spark, folder) -> DataFrame:
         F.nullif(F.col("c_mktsegment"), F.lit("HOUSEHOLD")).alias("initial_user_group_id"),
         F.substring("o_orderpriority", 1, 1).try_cast("int").alias("premium_code"),
         F.nullif(F.col("n_regionkey"), F.lit(0)).alias("cloud"),
+        (F.col("o_custkey") % 97).alias("company_id"), F.date_format("o_orderdate", "yyyy-MM").alias("med_project_area"),
+        F.floor(F.col("o_totalprice") / 20000).cast("int").alias("med_project_open_by"),
+        F.concat_ws("/", "c_mktsegment", "n_name").alias("site_company_id"), (F.col("o_custkey") % 31).alias("agent_id"),
     )
 
 
@@ -197,7 +200,10 @@ METADATA = """metadata AS (
   SELECT o_orderkey AS reference_id, o_custkey AS site_code, n_name AS country, r_name AS branch_code,
     o_orderpriority AS primary_product_id, o_orderstatus AS customer_phase,
     nullif(c_mktsegment, 'HOUSEHOLD') AS initial_user_group_id,
-    try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) AS premium_code, nullif(n_regionkey, 0) AS cloud
+    try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) AS premium_code, nullif(n_regionkey, 0) AS cloud,
+    o_custkey % 97 AS company_id, strftime(o_orderdate, '%Y-%m') AS med_project_area,
+    floor(o_totalprice / 20000)::INTEGER AS med_project_open_by, c_mktsegment || '/' || n_name AS site_company_id,
+    o_custkey % 31 AS agent_id
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey)"""
 

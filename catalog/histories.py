@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from casebook.operators import asof, history, labels
 from casebook.operators.sizing import materialise
+from casebook.plans import model_table as model
 from catalog.fixtures import (COMMENT_ROWS, COMMENTS, DECISIONS, HISTORY, MILESTONE_ROWS, MILESTONES, POSITIVES,
                               RESPONSE, SCORING, STATUS_HISTORY, WINDOWS, comments, decisions, hot, milestones, scoring,
                               status_history)
-from catalog.labelling import ORDER
+from catalog.labelling import FOLDS, ORDER
 from catalog.registry import query, rounded, with_
 
 MILESTONE_IDS = (1, 2, 3, 4, 5, 6, 7)
@@ -95,10 +96,13 @@ _SEEN = ", ".join(
     f"CASE WHEN total IS NOT NULL THEN coalesce(last_time_{v}, -999) END AS last_time_{v}" for v in MILESTONE_IDS)
 
 
-@query(with_(STATUS_HISTORY, MILESTONE_ROWS, SCORING, f"""grid AS (
+GRID = f"""grid AS (
   SELECT a.reference_id, a.seconds_since_case_start, count(b.milestone_id) AS total, {_COUNTS}
   FROM (SELECT DISTINCT reference_id, seconds_since_case_start FROM milestones) a LEFT JOIN milestones b
-    ON a.reference_id = b.reference_id AND b.seconds_since_case_start < a.seconds_since_case_start GROUP BY ALL)""",
+    ON a.reference_id = b.reference_id AND b.seconds_since_case_start < a.seconds_since_case_start GROUP BY ALL)"""
+
+
+@query(with_(STATUS_HISTORY, MILESTONE_ROWS, SCORING, GRID,
              """rows_in AS (
   SELECT reference_id, seconds_since_case_start, 1 AS in_train FROM csh
   WHERE inverse_time_to_next_escalation IS NOT NULL
@@ -117,6 +121,23 @@ def response_history(spark, folder):
     return history.as_of_rows(rows, counts, MILESTONES, keys)
 
 
+@query(with_(STATUS_HISTORY, MILESTONE_ROWS, SCORING, GRID, f"""rows_in AS (
+  SELECT reference_id, seconds_since_case_start, inverse_time_to_next_escalation, 1 AS in_train FROM csh
+  WHERE inverse_time_to_next_escalation IS NOT NULL
+  UNION ALL SELECT reference_id, seconds_since_case_start, NULL, 0 FROM scoring)""", select=f"""
+SELECT r.* REPLACE (round(inverse_time_to_next_escalation, 6) AS inverse_time_to_next_escalation),
+  {FOLDS.replace('reference_id', 'r.reference_id')}, total, {_SEEN},
+  r.seconds_since_case_start - g.seconds_since_case_start AS seconds_to_closest_milestone_features
+FROM rows_in r ASOF LEFT JOIN grid g
+  ON r.reference_id = g.reference_id AND r.seconds_since_case_start >= g.seconds_since_case_start"""))
+def row_model_table(spark, folder):
+    """Response rows, many per case, with the milestone counts as of their time."""
+    events = status_history(spark, folder)
+    rows = labels.row_response_table(events, scoring(events), HISTORY, RESPONSE)
+    keys = hot(spark, folder, "lineitem", "l_orderkey")
+    return rounded(model.row_model_table(rows, milestones(spark, folder), MILESTONES, "milestone_id", MILESTONE_IDS, keys))
+
+
 @query(with_(STATUS_HISTORY, select=f"""
 SELECT reference_id, seconds_since_case_start, severity, l_linenumber, l_partkey FROM (
   SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY seconds_since_case_start DESC, l_linenumber DESC,

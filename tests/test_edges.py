@@ -117,10 +117,22 @@ def test_out_of_fold_means_leave_the_own_fold_out(spark):
 
 
 def test_many_encodings_equal_the_single_ones(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0), (None, 1)], "c string, y int")
-    many = encode.encode_many(df, "y", labels=["c"], means=["c"], members=["c"])
-    assert rows(many, "c", "y") == [
-        (None, 1, None, None, 0), ("a", 0, 1, 0.5, 1), ("a", 1, 1, 0.5, 1), ("b", 0, 2, 0.0, 0)]
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "b", 0), (4, None, 1)], "id int, c string, y int")
+    many = encode.encode_packed(df, "id", "y", {"c": "c"}, {"c": "c"}, {"c": "c"})
+    assert rows(many, "id") == [
+        (1, "a", 1, 1, 0.5, 1), (2, "a", 0, 1, 0.5, 1), (3, "b", 0, 2, 0.0, 0), (4, None, 1, None, None, 0)]
+
+
+def test_many_encodings_out_of_fold_do_not_see_the_own_fold(spark):
+    df = spark.createDataFrame([(1, "a", 7, 1, 0), (2, "a", 7, 0, 1), (3, "a", 8, 0, 0), (4, "b", 8, 1, 0), (5, "b", 7, None, None),
+                                (6, "c", 9, None, None)], "id int, c string, d int, y int, f int")
+    many = encode.encode_packed(df, "id", "y", {"c": "c", "d": "d"}, {"c": "c", "d": "d"}, {"c": "c"}, "f")
+    found = {r["id"]: r for r in many.collect()}
+    assert [found[i]["mean_response_rate_c"] for i in range(1, 7)] == [0.0, 0.5, 0.0, None, 1.0, None]
+    assert [found[i]["is_in_escalated_c"] for i in range(1, 7)] == [0, 1, 0, 0, 1, 0]
+    assert [found[i]["label_encoded_c"] for i in range(1, 7)] == [1, 1, 1, 2, 2, 3]
+    assert [found[i]["label_encoded_d"] for i in range(1, 7)] == [1, 1, 2, 2, 1, 3]
+    assert found[1]["mean_response_rate_d"] == 0.0 and found[5]["mean_response_rate_d"] == 0.5
 
 
 # ---- history
