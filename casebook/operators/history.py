@@ -15,7 +15,7 @@ from casebook.functions.text import column
 from casebook.operators.eventlog import EventLog
 from casebook.operators.asof import latest_before
 from casebook.operators.rank import range_buckets, with_range_value
-from casebook.operators.sizing import hot_hashes
+from casebook.operators.sizing import hot_hashes, pair_join
 
 # Seconds in a day, and the time of something that has not happened.
 DAY = 86400
@@ -188,12 +188,12 @@ def _category_values(events: DataFrame, category: str, limit: int = 10_000) -> l
     return sorted(row[0] for row in found)
 
 
-def _prior(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable]) -> DataFrame:
+def _prior(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable], *kept: str) -> DataFrame:
     earlier = Window.partitionBy(log.key).orderBy(log.time).rowsBetween(Window.unboundedPreceding, -1)
-    return moments.select(log.key, log.time, *[f(c).over(earlier).alias(c) for c, f in fold.items()])
+    return moments.select(log.key, log.time, *kept, *[f(c).over(earlier).alias(c) for c, f in fold.items()])
 
 
-def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable]) -> DataFrame:
+def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable], *kept: str) -> DataFrame:
     """The same with no case in one task."""
     ranged = range_buckets(moments, [log.key, log.time])
     # Only the last case of a range can go on in the next one: at most MAX_RANGES rows of totals.
@@ -215,22 +215,41 @@ def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Calla
         return F.least(inside, carry) if f is F.min else F.greatest(inside, carry)
 
     return with_range_value(ranged, carried, "_carry").select(
-        log.key, log.time, *[prior(c, f).alias(c) for c, f in fold.items()]
+        log.key, log.time, *kept, *[prior(c, f).alias(c) for c, f in fold.items()]
     )
 
 
 def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None,
-                 hot: Mapping[int, int] | None = None) -> DataFrame:
-    """The same in long form: one row per case, time and category seen before it."""
-    wide = pivot_counts(events, log, category, values, hot)
-    if values is None:
-        values = [c.removeprefix("count_") for c in wide.columns if c.startswith("count_")]
-    per_value = F.array(*[
-        F.struct(F.lit(v).alias(category), F.col(f"count_{v}").alias("prior_count"),
-                 F.col(f"first_time_{v}").alias("first_time"), F.col(f"last_time_{v}").alias("last_time"))
-        for v in values
-    ])
-    return wide.select(log.key, log.time, F.inline(per_value)).filter(F.col("prior_count") > 0)
+                 hot: Mapping[int, int] | None = None, at: DataFrame | None = None) -> DataFrame:
+    """One row per case, time and category seen before it: ``prior_count``, ``first_time``, ``last_time`` of the
+    strictly earlier events.
+
+    Times are those of the case's events, or those of ``at`` (key and time). There is no list of categories: a moment
+    meets the categories whose first event is earlier, which are the rows of the result, and a running sum per (case,
+    category) over its events alone carries the counts to them. ``values`` restricts the categories; a null one does
+    not count. A hot case (``hot``, from :func:`hot_hashes`) meets its categories over salts, and the running sums go
+    in ranges of (case, category, time).
+    """
+    hot = hot_hashes(events, log.key) if hot is None else hot
+    case, time = F.struct(log.key).alias("_case"), F.col(log.time)  # in a struct, null keys are equal
+    changes = events.filter(F.col(category).isNotNull() & time.isNotNull())
+    changes = changes if values is None else changes.filter(F.col(category).isin(list(values)))
+    changes = changes.groupBy(log.key, category, log.time).agg(F.count("*").alias("prior_count"))
+    firsts = changes.groupBy(case, category).agg(F.min(log.time).alias("_first"))
+    moments = (events if at is None else at).select(case, log.time).distinct()
+    met = pair_join(moments, firsts, ["_case"]) if hot else moments.join(firsts, "_case")
+    asked = met.filter(time > F.col("_first")).select("_case", category, log.time, F.lit(0).alias("prior_count"),
+                                                      F.lit(True).alias("_asked"))
+    changed = changes.select(case, category, log.time, "prior_count", F.lit(False).alias("_asked"))
+    happened = F.when(F.col("prior_count") > 0, time)
+    line = EventLog("_line", log.time)
+    stacked = asked.unionByName(changed).groupBy(F.struct("_case", category).alias("_line"), log.time).agg(
+        F.sum("prior_count").alias("prior_count"), F.min(happened).alias("first_time"), F.max(happened).alias("last_time"),
+        F.max("_asked").alias("_asked"))
+    fold = {"prior_count": F.sum, "first_time": F.min, "last_time": F.max}
+    prior = (_prior_in_ranges if hot else _prior)(stacked, line, fold, "_asked")
+    return prior.filter("_asked").select(F.col(f"_line._case.{log.key}").alias(log.key), log.time,
+                                         F.col(f"_line.{category}").alias(category), *fold)
 
 
 def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = Non
     share, rows = share or HOT_SHARE, HOT_ROWS if rows is None else rows
     keep = math.ceil(2 / share)
     sketches = (
-        df.select(F.xxhash64(*as_list(on)).alias("h"), (F.spark_partition_id() % 64).alias("part"))
+        df.select(_key_hash(df, as_list(on)).alias("h"), (F.spark_partition_id() % 64).alias("part"))
         .groupBy("part")
         .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {keep}, {8 * keep})").alias("top"))
         .select("n", F.filter("top", lambda t: t["count"] > rows / 128).alias("top"))
@@ -90,6 +90,12 @@ def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = Non
     return {h: salts(count) for h, count in sorted(seen.items()) if count > max(total * share, rows) / 2}
 
 
+def _key_hash(df: DataFrame, on: Sequence[str]) -> Column:
+    """One hash for equal whole numbers of any width, so that a hot list holds for tables that type a key differently."""
+    types = dict(df.dtypes)
+    return F.xxhash64(*[F.col(c).cast("long") if types.get(c) in ("tinyint", "smallint", "int") else F.col(c) for c in on])
+
+
 def small_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
     """For each column, whether a lookup table with a row per value is small enough to broadcast.
 
@@ -130,12 +136,16 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how:
     hot = hot_hashes(rows, on) if hot is None else hot
     if not hot:
         return _join(rows, table, on, how, null_safe)
-    types = dict(rows.dtypes)
-    table = _typed(table, on, types)
-    n = _salts(on, hot)
-    rows = rows.withColumn("_salt", _own_salt(rows, n))
-    table = table.withColumn("_salt", F.explode(_every_salt(n)))
-    return _join(rows, table, [*on, "_salt"], how, null_safe).drop("_salt")
+    names = rows.columns + ([c for c in table.columns if c not in on] if how not in ("left_semi", "left_anti") else [])
+    rows, table, keys = _aligned(rows, table, on)
+    # keys that had to be cast hash otherwise than those the list was made of
+    hot = hot if keys == on else hot_hashes(rows, keys)
+    if hot:
+        n = _salts(rows, keys, hot)
+        rows = rows.withColumn("_salt", _own_salt(rows, n))
+        table = table.withColumn("_salt", F.explode(_every_salt(_salts(table, keys, hot))))
+        keys = [*keys, "_salt"]
+    return _join(rows, table, keys, how, null_safe).select(*[F.col(f"`{c}`") for c in names])
 
 
 def pair_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -145,33 +155,43 @@ def pair_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
     field where the two cross.
     """
     on = as_list(on)
-    types = dict(left.dtypes)
-    right = _typed(right, on, types)
-    both = [hot_hashes(side, on) for side in (left, right)]
+    names = [*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on]]
+    plain = left, right
+    left, right, keys = _aligned(left, right, on)
+    both = [hot_hashes(side, keys) for side in (left, right)]
     hot = {h: math.ceil(math.sqrt(max(found.get(h, 1) for found in both))) for h in {**both[0], **both[1]}}
     if not hot:
-        return left.join(right, on)
-    n = _salts(on, hot)
+        return plain[0].join(plain[1], on)
+    n, m = _salts(left, keys, hot), _salts(right, keys, hot)
     left = left.withColumn("_line", _own_salt(left, n)).withColumn("_column", F.explode(_every_salt(n)))
-    right = right.withColumn("_column", _own_salt(right, n)).withColumn("_line", F.explode(_every_salt(n)))
-    return left.join(right, [*on, "_line", "_column"]).drop("_line", "_column")
+    right = right.withColumn("_column", _own_salt(right, m)).withColumn("_line", F.explode(_every_salt(m)))
+    return left.join(right, [*keys, "_line", "_column"]).select(*[F.col(f"`{c}`") for c in names])
 
 
-def _typed(table: DataFrame, on: list[str], types: Mapping[str, str]) -> DataFrame:
-    """Keys in the types of the other side, so that equal keys hash alike; a key that has no such value matches nothing."""
+def _aligned(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the names of their keys. Where types differ, the key is in a column of its own on both sides, in
+    the type in which Spark compares the two, so that equal keys hash alike and unequal ones stay so."""
+    types, keys = [dict(left.dtypes), dict(right.dtypes)], []
+    whole = ("tinyint", "smallint", "int", "bigint")
     for c in on:
-        if dict(table.dtypes)[c] != types[c]:
-            table = table.filter(F.col(c).isNull() | F.col(c).try_cast(types[c]).isNotNull())
-            table = table.withColumn(c, F.col(c).try_cast(types[c]))
-    return table
-
-
-def _salts(on: list[str], hot: Mapping[int, int]) -> Column:
+        a, b = (t[c] for t in types)
+        if a == b or a in whole and b in whole:
+            keys.append(c)
+            continue
+        nulls = left.sparkSession.range(0).select(F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)).alias("x"))
+        common = nulls.schema["x"].dataType
+        left, right = (side.withColumn(f"_key_{c}", F.col(c).try_cast(common)) for side in (left, right))
+        right = right.drop(c)
+        keys.append(f"_key_{c}")
+    return left, right, keys
+
+
+def _salts(df: DataFrame, on: list[str], hot: Mapping[int, int]) -> Column:
     """Number of salts of a row's key: 1 unless it is hot."""
     tiers: dict[int, list[int]] = {}
     for h, n in hot.items():
         tiers.setdefault(n, []).append(h)
-    key = F.xxhash64(*on)
+    key = _key_hash(df, on)
     cases = [(key.isin(hashes), n) for n, hashes in sorted(tiers.items())]
     return reduce(lambda column, case: column.when(*case), cases[1:], F.when(*cases[0])).otherwise(1)
 

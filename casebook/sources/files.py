@@ -45,6 +45,7 @@ def read_fold_scores(spark: SparkSession, paths: list[str], schema: StructType |
                      fold_pattern: str = r"fold[_=](\d+)") -> DataFrame:
     """Stack per-fold score files; the fold number comes from each file's own path."""
     scores = read_csv(spark, paths, schema)
-    # the last part of the path that names a fold; a path without one fails the cast below
-    fold = F.regexp_extract(F.input_file_name(), rf"^.*(?:^|/)[^/]*?{fold_pattern}[^/]*(?:/[^/]*)?$", 1)
+    # the last part of the path that starts with a fold or has one after a mark (scores_fold_2.csv, not manifold_2); a
+    # path without one fails the cast below
+    fold = F.regexp_extract(F.input_file_name(), rf"^.*(?:/|/[^/]*[_.=-]){fold_pattern}(?![A-Za-z0-9])(?:[^/]*)(?:/.*)?$", 1)
     return scores.withColumn("fold", fold.cast("int"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casebook.operators import asof, history, labels
-from casebook.operators.sizing import materialise
+from casebook.operators.eventlog import EventLog
+from casebook.operators.sizing import lookup_join, materialise
 from casebook.plans import model_table as model
 from catalog.fixtures import (COMMENT_ROWS, COMMENTS, DECISIONS, HISTORY, MILESTONE_ROWS, MILESTONES, POSITIVES,
                               RESPONSE, SCORING, STATUS_HISTORY, WINDOWS, comments, decisions, hot, milestones, scoring,
                               status_history)
 from catalog.labelling import FOLDS, ORDER
-from catalog.registry import query, rounded, with_
+from catalog.registry import query, rounded, table, with_
 
 MILESTONE_IDS = (1, 2, 3, 4, 5, 6, 7)
 
@@ -91,6 +92,32 @@ def prior_counts(spark, folder):
     return history.prior_counts(comments(spark, folder), COMMENTS, "comment_type", hot=keys)
 
 
+@query("""SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem LEFT JOIN
+  (SELECT o_orderkey / 2 AS half, o_totalprice FROM orders) ON l_orderkey = half""")
+def unlike_keys(spark, folder):
+    """Order lines of whole keys looked up among halves: only whole halves match."""
+    halves = table(spark, folder, "orders").select((F.col("o_orderkey") / 2).alias("l_orderkey"), "o_totalprice")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    return lookup_join(lines, halves, "l_orderkey", "left", hot(spark, folder, "lineitem", "l_orderkey"))
+
+
+_WORD_TIME = 1000  # words that share a time
+
+
+@query(f"""WITH words AS (SELECT doc_id, (i - 1) // {_WORD_TIME} AS time, words[i] AS word FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i
+    FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)) WHERE words[i] <> ''),
+  changes AS (SELECT doc_id, word, time, count(*) AS n FROM words GROUP BY ALL),
+  moments AS (SELECT DISTINCT doc_id, time FROM words)
+SELECT m.doc_id, m.time, word, sum(n)::BIGINT AS prior_count, min(c.time) AS first_time, max(c.time) AS last_time
+FROM moments m JOIN changes c ON m.doc_id = c.doc_id AND c.time < m.time GROUP BY ALL""")
+def prior_word_counts(spark, folder):
+    """Earlier uses of every word of a document, at every 1,000 words: tens of thousands of categories."""
+    words = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    events = words.filter("word <> ''").select("doc_id", F.floor(F.col("at") / _WORD_TIME).alias("time"), "word")
+    return history.prior_counts(events, EventLog("doc_id", "time"), "word", hot=hot(spark, folder, "documents", "doc_id"))
+
+
 _SEEN = ", ".join(
     f"count_{v}, CASE WHEN total IS NOT NULL THEN coalesce(first_time_{v}, -999) END AS first_time_{v}, "
     f"CASE WHEN total IS NOT NULL THEN coalesce(last_time_{v}, -999) END AS last_time_{v}" for v in MILESTONE_IDS)

@@ -406,3 +406,11 @@ def test_csv_without_a_schema_is_inferred_and_pipe_is_text(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "c")).dtypes == [("n", "int"), ("s", "string")]
     assert files.read_delimited(spark, str(tmp_path / "p")).dtypes == [("n", "string"), ("s", "string")]
     assert files.read_delimited(spark, str(tmp_path / "p")).first() == ("1", "a,b")
+
+
+@pytest.mark.parametrize("path, fold", [("fold_1/scores/part", 1), ("manifold_3/fold_2", 2), ("fold=4", 4), ("fold_0/scores_fold_7", 7),
+                                        ("fold_5/manifold_3", 5)])
+def test_fold_comes_from_the_last_part_named_so(spark, tmp_path, path, fold):
+    spark.createDataFrame([(1, 0.5)], "id int, p double").coalesce(1).write.option("header", True).csv(f"{tmp_path}/{path}")
+    found = files.read_fold_scores(spark, [f"{tmp_path}/{path}"], "id int, p double")
+    assert [r["fold"] for r in found.collect()] == [fold]

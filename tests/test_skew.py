@@ -65,6 +65,33 @@ def test_pairs_of_two_hot_sides_meet_once(spark, everything_hot):
     assert pairs.count() == plain.count() == pairs.distinct().count()
 
 
+KEYS = {"int": [1, 1, 1, 2, None, 3], "bigint": [1, 2, 2, 4, None], "double": [1.0, 1.5, 2.0, None, 3.0],
+        "decimal(6,2)": ["1.00", "1.50", "2.00", None, "2.50"], "string": ["1", "01", "2", None, "3"], "smallint": [1, 3, None]}
+
+
+def _keyed(spark, kind, name):
+    values = [(None if v is None else str(v), i) for i, v in enumerate(KEYS[kind] * 3)]
+    return spark.createDataFrame(values, f"k string, {name} int").withColumn("k", F.col("k").cast(kind))
+
+
+@pytest.mark.parametrize("left, right", [("int", "double"), ("double", "bigint"), ("string", "int"), ("double", "string"),
+                                         ("int", "decimal(6,2)"), ("decimal(6,2)", "double"), ("smallint", "bigint")])
+def test_salted_joins_of_unlike_keys_equal_plain_ones(spark, left, right, everything_hot):
+    rows, table = _keyed(spark, left, "a"), _keyed(spark, right, "b").dropDuplicates(["k"])
+    for how in ("left", "left_anti"):
+        salted, plain = sizing.lookup_join(rows, table, "k", how), rows.join(table, "k", how)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect())), how
+    many = _keyed(spark, right, "b")
+    assert sorted(map(str, sizing.pair_join(rows, many, "k").collect())) == sorted(map(str, rows.join(many, "k").collect()))
+
+
+def test_a_hot_list_holds_for_whole_numbers_of_any_width(spark):
+    narrow = spark.range(100).select((F.col("id") % 2).cast("int").alias("k"))
+    found = [set(sizing.hot_hashes(df, "k", share=0.1, rows=10)) for df in (narrow, narrow.select(F.col("k").cast("long")))]
+    assert found[0] == found[1] and len(found[0]) == 2
+
+
 def test_small_columns(spark, monkeypatch):
     df = spark.range(50).select(F.col("id").alias("many"), (F.col("id") % 3).alias("few"), F.lit(None).alias("none"))
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", 10)
