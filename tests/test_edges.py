@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from casebook.functions import geography
@@ -13,6 +14,7 @@ from casebook.operators import (asof, assemble, clean, encode, evaluate, feature
                                 rank)
 from casebook.operators.eventlog import EventLog
 from casebook.plans import training
+from casebook.plans.trees import Trees
 from casebook.sources import files
 
 LOG = EventLog(key="id", time="t", ties=("tie",))
@@ -384,19 +386,39 @@ def test_pairs_within_a_distance_against_all_pairs(spark, km):
 def test_early_stopping_needs_no_more_rounds(spark):
     df = spark.range(60).selectExpr("id", "id % 2 AS f", "double(id % 7) AS x", "double(id % 7) AS y")
     models = training.fit_folds(df, ["x"], "y", "f", k=2, max_iter=4, stop_early=True, stepSize=1.0)
-    assert all(m.stages[-1].getNumTrees <= 4 for m in models.values())
-    scores = training.out_of_fold_scores(df, models, ["x"], "id", "y", "f")
+    assert all(m.getNumTrees <= 4 for m in models.values())
+    scores = training.out_of_fold_scores(df, training.compiled(models, ["x"]), "id", "y", "f")
     assert scores.count() == 60 and training.fold_r2(scores).filter("r2 > 0.9").count() == 2
 
 
 def test_scores_of_a_feature_with_nulls(spark):
     df = spark.createDataFrame([(i, i % 2, None if i % 3 else 1.0, float(i % 3 == 0)) for i in range(40)],
                                "id long, f int, x double, y double")
-    models = training.fit_folds(df, ["x"], "y", "f", k=2, max_iter=2)
-    scores = training.fold_scores(df, models, ["x"], "id")
+    models = training.compiled(training.fit_folds(df, ["x"], "y", "f", k=2, max_iter=2), ["x"])
+    scores = training.fold_scores(df, models, "id")
     assert scores.count() == 80 and scores.filter("prediction IS NULL").count() == 0
 
 
+def test_trees_as_sql_score_like_the_model(spark):
+    df = spark.range(400).selectExpr(
+        "id", "id % 3 AS f", "CASE WHEN id % 11 > 0 THEN CAST(id * 37 % 101 AS DECIMAL(9, 2)) / 7 END AS `a b`",
+        "CASE WHEN id % 13 = 0 THEN double('NaN') ELSE sin(id) END AS s", "id % 2 = 0 AS even",
+        "sin(id) * 3 + id % 5 + id * 37 % 101 / 9.0 AS y")
+    features = ["a b", "s", "even"]
+    models = training.fit_folds(df, features, "y", "f", k=3, max_iter=20)
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(training._numbers(df, features))
+    for i, trees in training.compiled(models, features).items():
+        assert len(trees.weights) == 20 and Trees.from_json(trees.to_json()).sql({0: "p", 1: "q", 2: "r"}) == trees.sql(
+            {0: "p", 1: "q", 2: "r"})
+        theirs = {r["id"]: r["prediction"] for r in models[i].transform(ready).collect()}
+        scored = training._score(df, trees, ["id"])
+        assert "*(" in scored._jdf.queryExecution().executedPlan().toString()  # stays in code generation
+        for mine in (scored, df.select("id", trees.column().alias("prediction"))):
+            assert all(abs(r["prediction"] - theirs[r["id"]]) < 1e-12 for r in mine.collect())
+    lone = training._score(df.selectExpr("id", "y AS prediction", "s"), Trees(("s",), (2.0,), ([0, 0.0, 1.0, 3.0],)), ["id"])
+    assert {r["prediction"] for r in lone.collect()} == {2.0, 6.0}
+
+
 # ---- files
 
 def test_csv_without_a_schema_is_inferred_and_pipe_is_text(spark, tmp_path):
