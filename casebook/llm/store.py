@@ -23,6 +23,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The same with the rows in buckets of ``key``, as many as there are shuffle partitions: joins on it move only the
+    other side. For keys with few rows each, as a bucket is read by one task."""
+    spark, mark = df.sparkSession, uuid4().hex
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/llm-{name}-{mark}")
+    writer.bucketBy(parts, key).saveAsTable(f"llm_{name}_{mark}")
+    return spark.table(f"llm_{name}_{mark}")
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later result reads."""
     for df in tables:
