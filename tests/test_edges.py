@@ -13,7 +13,7 @@ from casebook.functions.text import leading_digit, word_count
 from casebook.operators import (asof, assemble, clean, encode, evaluate, features, folds, geo, history, labels, profile,
                                 rank)
 from casebook.operators.eventlog import EventLog
-from casebook.plans import training
+from casebook.plans import model_table, training
 from casebook.plans.trees import Trees
 from casebook.sources import files
 
@@ -436,3 +436,73 @@ def test_fold_comes_from_the_last_part_named_so(spark, tmp_path, path, fold):
     spark.createDataFrame([(1, 0.5)], "id int, p double").coalesce(1).write.option("header", True).csv(f"{tmp_path}/{path}")
     found = files.read_fold_scores(spark, [f"{tmp_path}/{path}"], "id int, p double")
     assert [r["fold"] for r in found.collect()] == [fold]
+
+
+# ---- model tables
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_model_table_reads_its_buckets_without_a_shuffle(spark, folder):
+    from catalog import QUERIES
+
+    assert "Exchange" not in _plan(QUERIES["row_model_table"](spark, folder))
+
+
+def _logs(spark):
+    status = spark.createDataFrame([(1, 0, "1 low", 1), (1, 50, "2 high", 1), (1, 99, "3", 1), (2, 5, "4 x", 1)],
+                                   "id long, t long, severity string, tie int")
+    milestones = spark.createDataFrame([(1, 10, 7, "a b", "6763", "u", 1), (1, 20, 8, "a", "x y", "v", 1), (3, 1, 7, "a", None, "v", 1)],
+                                       "id long, t long, milestone_id int, milestone_description string, note_description string, "
+                                       "updated_by string, tie int")
+    comments = spark.createDataFrame([(2, 1, "web", "n1 n2", 5, "me", 1), (2, 4, "mail", None, 5, "you", 2)],
+                                     "id long, t long, comment_type string, notes string, global_id int, created_by string, tie int")
+    log = EventLog("id", "t", ("tie",))
+    decisions = spark.createDataFrame([(1, 60), (2, 9), (3, 9), (4, 9)], "id long, decision_time long")
+    return (status, log), (milestones, log), (comments, log), decisions
+
+
+@pytest.mark.parametrize("hot", [{}, None])
+def test_case_features_of_three_logs(spark, hot, request):
+    if hot is None:
+        request.getfixturevalue("everything_hot")
+    cases = model_table.case_features(*_logs(spark), types=["web"], hot=hot)
+    found = {r["id"]: r.asDict() for r in cases.collect()}
+    assert set(found) == {1, 2, 3}
+    one, two, three = (found[i] for i in (1, 2, 3))
+    assert (one["initial_case_severity_level"], one["cutoff_case_severity_level"]) == (1, 2)
+    assert one["last_label_encoded_milestone_description"] == 1 and one["max_label_encoded_milestone_description"] == 2
+    assert one["proportion_is_milestone_note_6763"] == 0.5 and one["last_milestone_id"] == 8
+    assert one["cutoff_seconds_since_previous_milestone"] == 10 / 86400
+    assert one["unique_comments"] is None and one["last_comment_time"] is None and two["unique_comments"] == 2
+    assert two["proportion_comment_type_is_web"] == 0.5 and two["first_label_encoded_notes"] == 1
+    assert two["last_label_encoded_notes"] is None and two["comment_frequency"] == 3 / 86400
+    assert two["unique_number_of_milestone_ids"] is None and three["initial_case_severity_level"] is None
+    assert three["last_length_of_note_description_null_for_6763"] == -999 and three["last_label_encoded_updated_by"] == 1
+    if hot == {}:
+        assert "Exchange hashpartitioning(id" not in _plan(cases)  # the only shuffle of events is behind the written table
+
+
+def test_row_model_table_both_ways(spark, everything_hot):
+    events = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 9, "a"), (None, 1, "a"), (2, None, "a")], "id long, t long, c string")
+    asked = spark.createDataFrame([(1, 4, 0), (1, 5, 0), (1, 9, 1), (1, 9, 2), (1, 12, 3), (2, 1, 4), (None, 3, 5), (1, None, 6)],
+                                  "id long, t long, n int")
+    log = EventLog("id", "t")
+    plain, ranged = (sorted(map(str, model_table.row_model_table(asked, events, log, "c", ["a", "b"], hot).collect()))
+                     for hot in ({}, None))
+    assert plain == ranged and len(plain) == 8
+    assert any("n=3, total=2, count_a=1" in r and "seconds_to_closest_milestone_features=3" in r for r in plain)
+
+
+@pytest.mark.parametrize("hot", [{}, None])
+def test_prior_counts_at_given_times_and_with_null_keys(spark, hot, everything_hot):
+    events = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 9, "a"), (None, 1, "a"), (None, 2, None), (1, None, "a")],
+                                   "id long, t long, c string")
+    log = EventLog("id", "t")
+    own = rows(history.prior_counts(events, log, "c", hot=hot))
+    assert own == [(None, 2, "a", 1, 1, 1), (1, 9, "a", 1, 5, 5), (1, 9, "b", 1, 5, 5)]
+    at = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (1, 20), (3, 9)], "id long, t long")
+    assert rows(history.prior_counts(events, log, "c", at=at, hot=hot)) == [
+        (1, 6, "a", 1, 5, 5), (1, 6, "b", 1, 5, 5), (1, 20, "a", 2, 5, 9), (1, 20, "b", 1, 5, 5)]
+    assert rows(history.prior_counts(events, log, "c", ["b"], hot)) == [(1, 9, "b", 1, 5, 5)]
