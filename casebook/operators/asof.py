@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casebook.operators.eventlog import EventLog
 from casebook.operators.rank import range_buckets, with_range_value
-from casebook.operators.sizing import as_list, hot_hashes, lookup_join
+from casebook.operators.sizing import as_list, hot_hashes, lookup_join, split_hot
 
 
 def cut_at(events: DataFrame, decisions: DataFrame, log: EventLog, cut: str = "decision_time", strict: bool = False,
@@ -35,8 +35,9 @@ def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on
     """Add to each left row ``columns`` of the latest right row of its key at or before its time.
 
     Rows of the right side at one time are told apart by ``ties`` (default ``columns``), greatest wins. Left rows
-    without an earlier right row keep nulls. Both sides are stacked and filled forward in one window per key; when a
-    key is hot on either side (``hot``, from :func:`hot_hashes`), the time line is cut into ranges instead.
+    without an earlier right row keep nulls. Both sides are stacked and filled forward in one window per key; the time
+    lines of keys that are hot on either side (``hot``, from :func:`hot_hashes`) are cut into ranges instead, those of
+    all other keys are not moved for it.
     """
     by, ties = as_list(by), list(ties) or list(columns)
     # an event without key or time is before nothing, and a row without either has nothing before it
@@ -45,10 +46,22 @@ def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on
     asks = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, on)])
     nothing = left.filter(~asks).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns])
     left = left.filter(asks)
-    if hot is None:
-        hot = hot_hashes(left.select(*by).unionAll(right.select(*by)), by)
-    if hot:
-        return _latest_in_ranges(left, right, by, on, columns, ties, strict).unionByName(nothing)
+    keys = left.select(*by).unionAll(right.select(*by))
+    hot = hot_hashes(keys, by) if hot is None else hot
+    if not hot:
+        return _latest_in_windows(left, right, by, on, columns, ties, strict).unionByName(nothing)
+    # both sides get the key in the type in which they are compared, so that one split holds for them
+    types = dict(keys.dtypes)
+    sides = [split_hot(side.withColumns({f"_key_{c}": F.col(c).cast(types[c]) for c in by}), [f"_key_{c}" for c in by], hot)
+             for side in (left, right)]
+    (left_hot, left), (right_hot, right) = ([part.drop(*[f"_key_{c}" for c in by]) for part in side] for side in sides)
+    ranged = _latest_in_ranges(left_hot, right_hot, by, on, columns, ties, strict)
+    return ranged.unionByName(_latest_in_windows(left, right, by, on, columns, ties, strict)).unionByName(nothing)
+
+
+def _latest_in_windows(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: Sequence[str],
+                       ties: list[str], strict: bool) -> DataFrame:
+    """One sorted window per key."""
     events = right.select(*by, on, F.struct(*columns).alias("_payload"), F.struct(*ties).alias("_tie"),
                           F.lit(0).alias("_asked"))
     stacked = left.withColumn("_asked", F.lit(1)).unionByName(events, allowMissingColumns=True)
@@ -57,7 +70,7 @@ def latest_before(left: DataFrame, right: DataFrame, by: str | Sequence[str], on
     so_far = Window.partitionBy(*by).orderBy(on, side, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = stacked.withColumn("_found", F.last("_payload", ignorenulls=True).over(so_far))
     found = found.filter(F.col("_asked") == 1)
-    return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns]).unionByName(nothing)
+    return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
 def _latest_in_ranges(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: Sequence[str],
@@ -77,7 +90,7 @@ def _latest_in_ranges(left: DataFrame, right: DataFrame, by: list[str], on: str,
     )
     ranged = range_buckets(moments, [*by, on])
     key = F.struct(*by)
-    # One row per range, at most MAX_RANGES rows. The same columns as the rows below, so that both share one shuffle.
+    # One row per range.
     last_seen = F.max_by(F.struct(key.alias("key"), "_payload", "_asked"),
                          F.when(F.col("_payload").isNotNull(), F.struct(*by, on)))
     ends = ranged.groupBy("_bucket").agg(F.max(key).alias("_key"), last_seen.alias("_seen"))

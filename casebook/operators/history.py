@@ -15,7 +15,7 @@ from casebook.functions.text import column
 from casebook.operators.eventlog import EventLog
 from casebook.operators.asof import latest_before
 from casebook.operators.rank import range_buckets, with_range_value
-from casebook.operators.sizing import hot_hashes, pair_join
+from casebook.operators.sizing import hot_hashes, pair_join, split_hot
 
 # Seconds in a day, and the time of something that has not happened.
 DAY = 86400
@@ -134,17 +134,18 @@ def summarise_logs(events: DataFrame, key: str, time: str, tag: str,
 def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per case and time: ``n_events`` and ``gap``, the seconds since the time before (null for the first).
 
-    Events at one time follow each other with gap 0, so only the first of them has this gap. With a hot case (``hot``,
-    from :func:`hot_hashes`) the log is cut into ranges, and the first gap of a range starts at the end of the range
-    before.
+    Events at one time follow each other with gap 0, so only the first of them has this gap. The time lines of hot
+    cases (``hot``, from :func:`hot_hashes`) are cut into ranges, and the first gap of a range starts at the end of the
+    range before.
     """
     hot = hot_hashes(events, log.key) if hot is None else hot
     moments = events.groupBy(log.key, log.time).agg(F.count("*").alias("n_events"))
     gap = F.col(log.time) - F.lag(log.time).over(Window.partitionBy(log.key).orderBy(log.time))
     if not hot:
         return moments.withColumn("gap", gap)
-    ranged = range_buckets(moments, [log.key, log.time])
-    # One row per range, at most MAX_RANGES rows. The same columns as the rows below, so that both share one shuffle.
+    large, rest = split_hot(moments, log.key, hot)
+    ranged = range_buckets(large, [log.key, log.time])
+    # One row per range.
     ends = ranged.groupBy("_bucket").agg(F.max(F.struct(log.key, log.time, "n_events")).alias("_end"))
     carried = ends.select("_bucket", F.lag("_end").over(Window.orderBy("_bucket")).alias("end"))
     inside = Window.partitionBy("_bucket", log.key).orderBy(log.time)
@@ -154,7 +155,7 @@ def gap_to_previous(events: DataFrame, log: EventLog, hot: Mapping[int, int] | N
     )
     return with_range_value(ranged, carried, "_carry").select(
         log.key, log.time, "n_events", (F.col(log.time) - previous).alias("gap")
-    )
+    ).unionByName(rest.withColumn("gap", gap))
 
 
 def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequence | None = None,
@@ -162,8 +163,8 @@ def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
     """Per case and time, for each category value: count, first and last time of the strictly earlier events.
 
     Columns ``count_<v>``, ``first_time_<v>``, ``last_time_<v>`` and ``total``. Running sums over one row per case and
-    time stand in for a join of every event to all earlier ones. Without ``values`` one job collects them. With a hot
-    case (``hot``, from :func:`hot_hashes`) the log is cut into ranges that hand their sums on.
+    time stand in for a join of every event to all earlier ones. Without ``values`` one job collects them. Hot
+    cases (``hot``, from :func:`hot_hashes`) are cut into ranges that hand their sums on.
     """
     hot = hot_hashes(events, log.key) if hot is None else hot
     values = _category_values(events, category) if values is None else values
@@ -177,8 +178,7 @@ def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
     fold = {c: f for c, (_, f) in moment.items()}
     moments = events.groupBy(log.key, log.time).agg(*[a.alias(c) for c, (a, _) in moment.items()])
     counts = [c for c, f in fold.items() if f is F.sum]
-    prior = _prior_in_ranges(moments, log, fold) if hot else _prior(moments, log, fold)
-    return prior.fillna(0, counts)
+    return _prior_of_all(moments, log, fold, hot, log.key).fillna(0, counts)
 
 
 def _category_values(events: DataFrame, category: str, limit: int = 10_000) -> list:
@@ -193,10 +193,19 @@ def _prior(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable], *kep
     return moments.select(log.key, log.time, *kept, *[f(c).over(earlier).alias(c) for c, f in fold.items()])
 
 
+def _prior_of_all(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable], hot: Mapping[int, int], case: str,
+                  *kept: str) -> DataFrame:
+    """:func:`_prior`, for hot cases in ranges; ``case`` is the column or field that tells them."""
+    if not hot:
+        return _prior(moments, log, fold, *kept)
+    large, rest = split_hot(moments, case, hot)
+    return _prior_in_ranges(large, log, fold, *kept).unionByName(_prior(rest, log, fold, *kept))
+
+
 def _prior_in_ranges(moments: DataFrame, log: EventLog, fold: Mapping[str, Callable], *kept: str) -> DataFrame:
     """The same with no case in one task."""
     ranged = range_buckets(moments, [log.key, log.time])
-    # Only the last case of a range can go on in the next one: at most MAX_RANGES rows of totals.
+    # Only the last case of a range can go on in the next one: one row of totals per range.
     in_range = ranged.groupBy("_bucket", log.key).agg(*[f(c).alias(c) for c, f in fold.items()])
     last_case = F.max(F.struct(log.key, *fold))
     ends = in_range.groupBy("_bucket").agg(last_case.alias("_end")).select("_bucket", "_end.*")
@@ -247,7 +256,7 @@ def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
         F.sum("prior_count").alias("prior_count"), F.min(happened).alias("first_time"), F.max(happened).alias("last_time"),
         F.max("_asked").alias("_asked"))
     fold = {"prior_count": F.sum, "first_time": F.min, "last_time": F.max}
-    prior = (_prior_in_ranges if hot else _prior)(stacked, line, fold, "_asked")
+    prior = _prior_of_all(stacked, line, fold, hot, f"_line._case.{log.key}", "_asked")
     return prior.filter("_asked").select(F.col(f"_line._case.{log.key}").alias(log.key), log.time,
                                          F.col(f"_line.{category}").alias(category), *fold)
 

@@ -12,48 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.operators.sizing import as_list, lookup_join, shuffle_partitions
+from casebook.operators.sizing import as_list, lookup_join, materialise, shuffle_partitions
 
-MAX_RANGES = 2048
+RANGES_PER_PARTITION = 4
 
 
 def range_buckets(distinct: DataFrame, keys: Sequence[str], name: str = "_bucket") -> DataFrame:
     """Add a range number that grows with ``keys``. ``distinct`` has one row per value of the keys.
 
-    The range bounds are picked from the rows with the smallest key hashes (each task keeps at most 4 * MAX_RANGES), so
-    they depend on the data alone and a recomputed task finds the same range. They reach the rows as a scalar subquery
-    of fewer than MAX_RANGES values.
+    Spark's range partitioning picks the bounds from a sample of each range's worth of keys, so there are as many ranges
+    as the session's shuffle partitions ask for and no list of bounds meets every row. The result is written once: all
+    later steps read the same range numbers, also after a lost executor. Some ranges may be empty.
     """
-    n_ranges = min(4 * shuffle_partitions(distinct), MAX_RANGES)
-    key = F.struct(*keys)
-    # The other columns ride along so that this branch can reuse the shuffle of the main one.
-    rest = [c for c in distinct.columns if c not in keys]
-    sample = distinct.orderBy(F.xxhash64(*keys), *keys).limit(4 * n_ranges)
-    kept = sample.agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), *rest))).alias("kept"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("kept") / F.lit(n_ranges)).cast("int"))
-    every = F.filter("kept", lambda _, i: (i > 0) & (i % step == 0))
-    bounds = kept.select(F.transform(every, lambda x: x["key"]))
-
-    def find(position: Column, width: Column) -> Column:
-        return F.when(F.get(F.col("_bounds"), position + width - 1) <= key, position + width).otherwise(position)
-
-    widths = F.array(*[F.lit(1 << i) for i in reversed(range(n_ranges.bit_length()))])
-    bucket = F.coalesce(F.reduce(widths, F.lit(0), find), F.lit(0))
-    return distinct.withColumn("_bounds", bounds.scalar()).withColumn(name, bucket).drop("_bounds")
+    n_ranges = RANGES_PER_PARTITION * shuffle_partitions(distinct)
+    return materialise(distinct.repartitionByRange(n_ranges, *keys).withColumn(name, F.spark_partition_id()))
 
 
 def with_range_value(ranged: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """Add, as a struct, the row of ``values`` that belongs to each row's range.
+    """Add, as a struct, the row of ``values`` that belongs to each row's range; null where there is none.
 
-    ``values`` has one row for every range, at most MAX_RANGES. Ranges are numbered from 0 without a gap, since each
-    bound is itself a key, so a row finds its value by position in the sorted list, which reaches it as a scalar
-    subquery.
+    ``values`` has at most one row per range. The join is on the range number, by which the rows are dealt out for the
+    windows inside a range as well.
     """
-    value = F.struct(*[c for c in values.columns if c != "_bucket"]).alias("value")
-    entries = F.collect_list(F.struct("_bucket", value))
-    listed = values.agg(F.array_sort(entries, lambda a, b: a["_bucket"] - b["_bucket"])).scalar()
-    found = F.get("_listed", F.col("_bucket"))["value"]
-    return ranged.withColumn("_listed", listed).withColumn(name, found).drop("_listed")
+    value = F.struct(*[c for c in values.columns if c != "_bucket"]).alias(name)
+    return ranged.join(values.select("_bucket", value), "_bucket", "left")
 
 
 def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str, sums: Sequence[str] = ()) -> DataFrame:
@@ -63,7 +45,7 @@ def rank_distinct(distinct: DataFrame, keys: Sequence[str], weight: str, sums: S
     """
     keys = list(keys)
     ranged = range_buckets(distinct, keys)
-    # One row per range: at most MAX_RANGES rows in the windows without partitions.
+    # One row per range in the windows without partitions.
     per_range = ranged.groupBy("_bucket").agg(F.sum(weight).alias("_n"), *[F.sum(c).alias(c) for c in sums])
     everything = Window.partitionBy()
     offsets = per_range.select(

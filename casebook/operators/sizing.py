@@ -92,8 +92,15 @@ def hot_hashes(df: DataFrame, on: str | Sequence[str], share: float | None = Non
 
 def _key_hash(df: DataFrame, on: Sequence[str]) -> Column:
     """One hash for equal whole numbers of any width, so that a hot list holds for tables that type a key differently."""
-    types = dict(df.dtypes)
-    return F.xxhash64(*[F.col(c).cast("long") if types.get(c) in ("tinyint", "smallint", "int") else F.col(c) for c in on])
+    types = dict(df.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(on)]).dtypes)
+    narrow = ("tinyint", "smallint", "int")
+    return F.xxhash64(*[F.col(c).cast("long") if types[f"_{i}"] in narrow else F.col(c) for i, c in enumerate(on)])
+
+
+def split_hot(df: DataFrame, on: str | Sequence[str], hot: Mapping[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys, and the others. ``on`` may name fields of structs."""
+    is_hot = _key_hash(df, as_list(on)).isin(list(hot))
+    return df.filter(is_hot), df.filter(~is_hot)
 
 
 def small_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from casebook.operators import sizing
+from casebook.operators import asof, history, rank, sizing
+from casebook.operators.eventlog import EventLog
 
 
 @pytest.fixture
@@ -102,3 +103,63 @@ def test_shared_folder_is_the_clusters(spark):
     assert sizing.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     written = sizing.materialise(spark.range(3))
     assert written.count() == 3 and spark.conf.get("spark.checkpoint.dir") in written.inputFiles()[0]
+
+
+def test_ranges_are_even_whatever_the_keys(spark, partitions):
+    partitions(16)
+    keys = spark.range(200_000).select(F.when(F.col("id") < 190_000, F.col("id") / 1e6).otherwise(F.exp(F.col("id") / 2e4)).alias("k"))
+    ranged = rank.range_buckets(keys.distinct(), ["k"])
+    rows = ranged.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    rows = rows.orderBy("_bucket").collect()
+    assert len(rows) == 64 and sum(r["n"] for r in rows) == 200_000
+    assert max(r["n"] for r in rows) < 2 * 200_000 / len(rows)
+    assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:]))
+
+
+def test_ranks_go_on_past_any_number_of_ranges(spark, partitions):
+    partitions(600)  # 2,400 ranges
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+        ranked = rank.rank_table(spark.range(5000).select((F.col("id") * 7 % 5000).alias("k")), "k")
+        assert ranked.filter((F.col("before") != F.col("k")) | (F.col("total") != 5000)).count() == 0
+        assert ranked.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _log_with_a_hot_case(spark):
+    events = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 0).otherwise(F.col("id") % 40).cast("int").alias("case"),
+        (F.col("id") * 7919 % 1000).alias("at"), (F.col("id") % 5).cast("string").alias("kind"))
+    return events, EventLog("case", "at"), sizing.hot_hashes(events, "case", share=0.1, rows=10)
+
+
+def _same(a, b):
+    assert a.columns == b.columns
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+@pytest.mark.parametrize("what", ["gap", "counts", "prior", "latest", "latest of a wider key"])
+def test_only_hot_cases_go_in_ranges(spark, monkeypatch, what):
+    events, log, hot = _log_with_a_hot_case(spark)
+    assert len(hot) == 2
+    seen = []
+    plain_ranges = rank.range_buckets
+    for module in (history, asof):
+        monkeypatch.setattr(module, "range_buckets", lambda df, keys: seen.append(plain_ranges(df, keys)) or seen[-1])
+
+    def run(hot):
+        if what == "gap":
+            return history.gap_to_previous(events, log, hot)
+        if what == "counts":
+            return history.pivot_counts(events, log, "kind", ["0", "1"], hot)
+        if what == "prior":
+            return history.prior_counts(events, log, "kind", hot=hot)
+        left = events.select(F.col("case").cast("double" if "wider" in what else "int"), F.col("at").alias("at"), "kind")
+        right = events.filter("at % 7 = 0").select("case", "at", F.concat("kind", F.lit("!")).alias("said"))
+        return asof.latest_before(left, right, "case", "at", ["said"], hot=hot)
+
+    _same(run(hot), run({}))
+    cases = {r[0] for df in seen for r in df.select(
+        "_line._case.case" if "_line" in df.columns else "case").distinct().collect()}
+    assert len(seen) == 1 and cases <= {0, None} and 0 in cases
