@@ -16,6 +16,7 @@ from casebook.llm.store import written
 CURVES = 16
 DIMS, BITS = 6, 5
 WINDOW = 0.045  # half a window's share of all rows; see ``neighbours``
+LEAST_ROWS = 500  # rows on either side of a query that its window holds at least, as far as there are so many
 SEGMENTS = 200  # cuts of a curve, fitted on a sample
 SAMPLE = 20_000
 PIECE = 4_000  # rows of a segment that one task compares with a block of queries
@@ -100,9 +101,11 @@ def neighbours(df: DataFrame, queries: DataFrame, vector: str = "embedding", key
     in two steps.
 
     The window is a share of all rows: on data without low-dimensional structure neighbours are spread over the curve
-    in proportion to its length, and a fixed number of rows would lose recall as the table grows.
+    in proportion to its length, and a fixed number of rows would lose recall as the table grows. It holds
+    ``LEAST_ROWS`` on either side at least, so that a table of up to as many rows is compared whole.
 
-    Vectors that are null, zero, non-finite or of another length than most take no part, nor do null keys. Repeated
+    Vectors that are null, zero or non-finite take no part, nor do null keys. Vectors of different lengths have no
+    distance; those of another length than most meet all others of their own length, dealt out like a segment. Repeated
     rows are candidates each. An empty table, or one without a usable query, gives no rows.
     """
     def good(rows: DataFrame) -> DataFrame:
@@ -114,18 +117,24 @@ def neighbours(df: DataFrame, queries: DataFrame, vector: str = "embedding", key
     sized = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if sized is None:
         return spark.createDataFrame([], shape.replace("vec_id", key))
-    same = F.size("v") == sized["size"]
-    rows, asked = rows.where(same), written(asked.where(same), "queries")
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").select("v").limit(SAMPLE).toPandas()
+    usual, asked = sized["size"], written(asked, "queries")
+    sample = rows.where(F.size("v") == usual).orderBy(F.xxhash64("id", "v"), "id").select("v").limit(SAMPLE).toPandas()
     curves = Curves.fit(np.array(sample["v"].tolist(), dtype=np.float64))
-    reach = int(np.ceil(window * SEGMENTS))
-    pieces = max(1, -(-sized["count"] // (SEGMENTS * PIECE)))
+    reach = min(SEGMENTS, int(np.ceil(max(window, LEAST_ROWS / sized["count"]) * SEGMENTS)))
+    others = rows.where(F.size("v") != usual).count()
+    pieces = F.when(F.size("v") == usual, max(1, -(-sized["count"] // (SEGMENTS * PIECE)))).otherwise(
+        max(1, -(-others // PIECE)))
     blocks = max(1, -(-asked.count() // QUERIES))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            segments = curves.segments(np.array(batch["v"].tolist(), dtype=np.float64).reshape(len(batch), -1)).astype(np.int16)
-            yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "at": list(segments.T)})
+            known = batch["v"].map(len) == usual
+            # vectors of another length are all in one segment of one curve
+            at = [np.zeros(1, dtype=np.int16)] * len(batch)
+            x = np.array(batch["v"][known].tolist(), dtype=np.float64).reshape(-1, usual)
+            for i, segments in zip(np.flatnonzero(known), curves.segments(x).astype(np.int16).T, strict=True):
+                at[i] = segments
+            yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "at": at})
 
     kind = f"id long, v {rows.schema['v'].dataType.simpleString()}, at array<short>"
     placed, looking = rows.mapInPandas(of, kind), asked.mapInPandas(of, kind)
@@ -133,12 +142,12 @@ def neighbours(df: DataFrame, queries: DataFrame, vector: str = "embedding", key
     group = F.floor(F.col("segment") / reach)
     base = placed.select("id", "v", "at", F.posexplode("at").alias("curve", "segment")).select(
         "id", "v", "at", F.lit(False).alias("asks"), "curve", group.alias("group"),
-        F.pmod(F.xxhash64("id", "v"), F.lit(pieces)).alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        F.pmod(F.xxhash64("id", "v"), pieces).alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     last = (SEGMENTS - 1) // reach
     asks = looking.select("id", "v", "at", F.posexplode("at").alias("curve", "segment")).select(
         "id", "v", "at", F.lit(True).alias("asks"), "curve",
         F.explode(F.sequence(F.greatest(F.lit(0), group - 1), F.least(F.lit(last), group + 1))).alias("group"),
-        F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"),
+        F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"),
         F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +166,7 @@ def neighbours(df: DataFrame, queries: DataFrame, vector: str = "embedding", key
                     out.append(pd.DataFrame({"query_id": own, "id": ids[mine][best], "square": square[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "square": []})
 
-    found = base.union(asks).groupBy("curve", "group", "piece", "block").applyInPandas(
+    found = base.union(asks).groupBy(F.size("v"), "curve", "group", "piece", "block").applyInPandas(
         search, "query_id long, id long, square double")
     found = written(found, "found")
     best = F.slice(F.array_sort(F.collect_list(F.struct("square", "id"))), 1, k)

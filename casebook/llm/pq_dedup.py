@@ -21,8 +21,14 @@ MOST_LISTS = 4096
 BLOCK = 1000  # vectors compared with each other in one task
 
 
-def unit_rows(vectors) -> np.ndarray:
-    x = np.array(list(vectors), dtype=np.float64).reshape(len(vectors), -1)
+def unit_rows(vectors, dims: int | None = None) -> np.ndarray:
+    """Vectors as rows of length 1; zeros stand for what a shorter one lacks of ``dims`` components."""
+    if dims is None or all(len(v) == dims for v in vectors):
+        x = np.array(list(vectors), dtype=np.float64).reshape(len(vectors), -1)
+    else:
+        x = np.zeros((len(vectors), dims))
+        for row, v in zip(x, vectors, strict=True):
+            row[: len(v)] = v
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
@@ -91,7 +97,9 @@ class Index:
         """
         square = (x ** 2).sum(1)[:, None] + (self.centres ** 2).sum(1)[None] - 2 * x @ self.centres.T
         own = np.argmin(square, axis=1)
-        between = np.sqrt(np.maximum(((self.centres[own][:, None] - self.centres[None]) ** 2).sum(-1), 0))
+        # one row of centre distances per list that occurs, never rows × centres × components
+        lists, of = np.unique(own, return_inverse=True)
+        between = np.stack([np.sqrt(((self.centres[a] - self.centres) ** 2).sum(-1)) for a in lists])[of.reshape(-1)]
         near = square - square[np.arange(len(x)), own][:, None] <= radius * between + 1e-9
         near[np.arange(len(x)), own] = False
         return own, [np.flatnonzero(row) for row in near]
@@ -123,7 +131,8 @@ def _compare(group: pd.DataFrame, index: Index, cosine: float) -> pd.DataFrame:
     radius = np.sqrt(max(0.0, 2 - 2 * cosine))
     first, second, lists = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["list"].iloc[0])
     group = group.sort_values("node").reset_index(drop=True)
-    x, block = unit_rows(group["vector"]), group["block"].to_numpy()
+    x, block = unit_rows(group["vector"], index.centres.shape[1]), group["block"].to_numpy()
+    sizes = group["vector"].map(len).to_numpy()
     codes, error = index.encode(x, np.full(len(x), lists))
     residual = x - index.centres[lists]
     nodes, copies, own = (group[c].to_numpy() for c in ("node", "copies", "own"))
@@ -147,7 +156,7 @@ def _compare(group: pd.DataFrame, index: Index, cosine: float) -> pd.DataFrame:
         a, b = rows[a], right[b]
         for part in range(0, len(a), 200_000):
             p, q = a[part:part + 200_000], b[part:part + 200_000]
-            alike = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            alike = (np.einsum("ij,ij->i", x[p], x[q]) >= cosine) & (sizes[p] == sizes[q])
             p, q = p[alike], q[alike]
             away = np.where(own[p] == lists, own[q], own[p])
             here = (away == lists) | index.meets(x[p], x[q], lists, away)
@@ -176,29 +185,29 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     blocks is a group, so a list of any size spreads; only counts and a forest of edges leave a task. Table distances
     with each code's own error drop no link, and the cosine of the survivors is computed in double precision.
 
-    Null, zero or non-finite vectors, and those whose length differs from most, link with nothing. Rows with a null
-    key take part. Repeated rows link with each other. An empty table gives no rows.
+    Null, zero or non-finite vectors link with nothing, nor do vectors of different lengths with each other; a shorter one
+    is filled with zeros, which changes no cosine among those of its length. Rows with a null key take part. Repeated rows link with each other. An empty table gives no rows.
     """
     radius = np.sqrt(max(0.0, 2 - 2 * cosine))
     rows = written(df.select(F.col(key).alias("key"), F.when(usable(vector), F.col(vector)).alias("vector"),
                              F.monotonically_increasing_id().alias("row")), "vectors")
-    sized = rows.where("vector is not null").groupBy(F.size("vector").alias("size")).count().orderBy(
-        F.desc("count"), "size").first()
+    sized = rows.where("vector is not null").agg(F.max(F.size("vector")).alias("dims"), F.count("*").alias("count")).first()
+    dims = sized["dims"]
     empty = rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"),
                         F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    if sized is None:
+    if dims is None:
         return empty
     least = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("row").alias("row")))
-    nodes = written(rows.where(F.size("vector") == sized["size"]).groupBy("vector").agg(
+    nodes = written(rows.where("vector is not null").groupBy("vector").agg(
         least.alias("least"), F.count("*").alias("copies"), F.min("row").alias("node")), "nodes")
     sample = nodes.orderBy(F.xxhash64("vector"), "node").select("vector").limit(SAMPLE).toPandas()
-    index = Index.fit(unit_rows(sample["vector"]), sized["count"])
+    index = Index.fit(unit_rows(sample["vector"], dims), sized["count"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.iloc[at:at + 500]
-                own, others = index.probes(unit_rows(batch["vector"]), radius * slack)
+                own, others = index.probes(unit_rows(batch["vector"], dims), radius * slack)
                 lists = [np.append(o, p) for o, p in zip(own, others, strict=True)]
                 yield pd.DataFrame({"node": batch["node"], "copies": batch["copies"], "own": own, "lists": lists})
 

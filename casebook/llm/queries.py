@@ -197,15 +197,14 @@ def op9_quality(spark, folder):
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-_SPEAKER = """CASE WHEN trim(role, ' ') IS NULL OR trim(role, ' ') = '' THEN 'unknown'
-    ELSE regexp_replace(trim(role, ' '), '[^\\p{L}\\p{N}_-]', '_', 'g') END"""
+_SPEAKER = "CASE WHEN trim(role, ' ') IS NULL OR trim(role, ' ') = '' THEN 'unknown' ELSE trim(role, ' ') END"
 
 
 @query(f"""WITH t AS (SELECT conv_id, coalesce(floor(turn / 64), -1)::BIGINT AS part, turn, {_SPEAKER} AS speaker,
         coalesce(text, '') AS said FROM conversations),
     p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
     x AS (SELECT t.*, p.perspective, '<|' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system'
-        THEN 'system' ELSE 'user name=' || speaker END || '|>' || chr(10) AS head, said || '<|end|>' || chr(10) AS body
+        THEN 'system' ELSE 'user name=' || regexp_replace(speaker, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') END || '|>' || chr(10) AS head, said || '<|end|>' || chr(10) AS body
         FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
     y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part
         ORDER BY turn NULLS LAST, speaker, said ROWS UNBOUNDED PRECEDING) AS stop FROM x)

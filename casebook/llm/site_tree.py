@@ -21,22 +21,27 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
     tbody td tfoot th thead tr ul caption""".split())
 CLOSED_BY_SAME = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table",
                   "option": "select", "thead": "table", "tbody": "table", "tfoot": "table"}
-# Elements, roles and names that are never part of an article.
+# Elements, roles and names that are never part of an article. Names that articles use too (legal, share,
+# side, notice, related, alert, skip) count only with a word for a part of a page after them.
 NOISE = frozenset("""nav footer aside form script style noscript template iframe svg button select dialog menu head title
     textarea object embed canvas audio video map datalist fieldset noembed noframes xmp""".split())
 NOISE_ROLES = frozenset("""navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog
     toolbar""".split())
 NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|"
-    r"overlay|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|foot|footer|masthead|topbar|toolbar|comments?|disqus|"
-    r"replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|widgets?|"
-    r"skip|copyright|legal)(?=$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|popups?|modal|overlay|"
+    r"sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|foot|footer|masthead|topbar|toolbar|comments?|disqus|"
+    r"reply|replies|respond|sharing|social|recommended|newsletter|subscribe|signup|login|pagination|pager|widgets?|copyright|"
+    r"(?:legal|share|side|notices?|related|alerts?|skip)[_-](?:bar|box|buttons?|col|column|links?|list|area|block|items?|nav|"
+    r"notices?|panel|posts?|articles?|stories|content|section|text|to|wrapper|container|icons?|tools?))(?=$|[\s_-])"
+    r"|^\s*(?:share|side|notices?|related|alerts?|skip)\s*$", re.I)
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 LEAST_PAGES = 8  # a style node is judged once so many pages of the site have it
 IMPORTANCE = 0.2  # branches of less importance go
+MOST_OUTSIDE = 2  # so many times the text of article and main may be outside them for these to be the article
 
 
 def _noisy(tag: str, attributes: str) -> bool:
@@ -49,7 +54,8 @@ def _noisy(tag: str, attributes: str) -> bool:
         if (name == "hidden" or name == "aria-hidden" and value.lower() == "true"
                 or name == "style" and re.search(r"display\s*:\s*none", value, re.I)
                 or name == "role" and value.lower() in NOISE_ROLES
-                or name in ("class", "id") and tag not in ("html", "body", "article", "main") and NOISE_NAMES.search(value)):
+                or name in ("class", "id") and tag not in ("html", "body", "article", "main") and NOISE_NAMES.search(value)
+                or name in ("class", "id") and tag == "article" and REPLIES.search(value)):
             return True
     return False
 
@@ -235,6 +241,20 @@ def _article(page: str | None, unimportant: frozenset) -> str:
     """Text of the branches that stay, a line per block."""
     root, pieces = parse(page)
     inside, holders = _main_nodes(pieces)
+    if inside:
+        # a teaser in an article is not the article: what is outside, but for what repeats, must not be far longer
+        sizes, far = [0, 0], {}
+        for node, text in pieces:
+            if text is not None:
+                at, dull = node, False
+                if id(node) not in far:
+                    while at is not None and not dull:
+                        dull, at = at.path in unimportant and id(at) not in holders, at.parent
+                    far[id(node)] = dull
+                if not far[id(node)]:
+                    sizes[id(node) in inside] += len(text.strip())
+        if sizes[0] > MOST_OUTSIDE * sizes[1]:
+            inside = set()
 
     def text_of(dull: frozenset) -> str:
         lines, now, stays = [], [], {}
@@ -266,7 +286,7 @@ def extract(pages: DataFrame, text: str = "html", url: str = "url", out: str = "
 
     First the style trees of all sites are built, then each page loses: elements that are never article (menus, footers,
     forms, scripts and the like, told by tag, role, or class and id words), everything outside ``article`` and ``main``
-    where a page has them, and everywhere, inside these too, the branches whose style node is on ``LEAST_PAGES`` different
+    where a page has them and their text is not less than half of the rest, and everywhere, inside these too, the branches whose style node is on ``LEAST_PAGES`` different
     pages of the site or more and has an importance under ``IMPORTANCE``. The ``article`` and ``main`` elements themselves
     and what is around them are not judged, and where nothing in them would be left all of it stays. Only such nodes
     travel to the pages, as one small row per host; a host's nodes are bounded by its templates, and hosts join without a
@@ -277,10 +297,13 @@ def extract(pages: DataFrame, text: str = "html", url: str = "url", out: str = "
     markup is read to the end: unclosed elements end with their parents, an unfinished tag or comment is dropped.
     """
     tree = style_tree(pages, text, url).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < IMPORTANCE))
-    dull = written(tree.groupBy("host").agg(F.collect_set("path").alias("_dull")), "dull")
     names = [c for c in pages.columns if c != out]
-    joined = pages.withColumn("_host", host_of(F.col(url))).join(
-        dull.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
+    # columns of our own under names that no column has, whatever its case
+    taken = {c.lower() for c in pages.columns}
+    host_name, dull_name = (next(n for n in (f"{c}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken)
+                            for c in ("_host", "_dull"))
+    dull = written(tree.groupBy(F.col("host").alias(host_name)).agg(F.collect_set("path").alias(dull_name)), "dull")
+    joined = pages.withColumn(host_name, host_of(F.col(url))).join(dull, host_name, "left")
     schema = pages.select(*names).schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +312,8 @@ def extract(pages: DataFrame, text: str = "html", url: str = "url", out: str = "
                 batch = whole.slice(at, 500)
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 texts = [_article(page, frozenset(dull or ())) for page, dull in zip(
-                    columns[text].to_pylist(), columns["_dull"].to_pylist(), strict=True)]
+                    columns[text].to_pylist(), columns[dull_name].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[columns[c] for c in names], pa.array(texts, pa.string())],
                                                  names=[*names, out])
 
-    return small_batches(joined.select(*names, "_dull")).mapInArrow(run, schema)
+    return small_batches(joined.select(*dict.fromkeys([*names, text]), dull_name)).mapInArrow(run, schema)

@@ -137,6 +137,32 @@ def test_vector_links_equal_all_pairs(spark, monkeypatch, per_list, block):
     assert pq_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_rarer_lengths_link_among_themselves(spark):
+    x = _vectors()[:60]
+    rare = [[3.0, 4.0], [3.0, 4.0], [3.1, 4.0], [-4.0, 3.0], [3.0, 4.0, 0.0], [1.0], [2.0], [-2.0], [3.0, 4.0] + [0.0] * 14]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, v) for i, v in enumerate(rare)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.near_duplicates(df).collect()}
+    assert [got[100 + i] for i in range(9)] == [(2, 100), (2, 100), (2, 100), (0, 103), (0, 104), (1, 105), (1, 105), (0, 107),
+                                                (0, 108)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 11, 15, 30, 200])
+def test_neighbours_of_small_tables_are_complete(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 8))
+    rare = [(1000, [1.0, 2.0]), (1001, [2.0, 2.0]), (1002, [5.0, 5.0]), (1003, [1.0])] if n > 10 else []
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + rare, "vec_id long, embedding array<double>")
+    asked = [i for i in (0, n // 2, n - 1)] + [r[0] for r in rare]
+    found = curves.neighbours(df, df.where(F.col("vec_id").isin(asked))).collect()
+    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in asked}
+    for q in asked:
+        if q < n:
+            d = ((x - x[q]) ** 2).sum(1)
+            assert got[q] == [i for i in np.lexsort((np.arange(n), d)).tolist() if i != q][:10]
+    if rare:
+        assert [got[q] for q in (1000, 1001, 1002, 1003)] == [[1001, 1002], [1000, 1002], [1001, 1000], []]
+
+
 @pytest.mark.parametrize("rank", [2, 4])
 def test_no_link_across_lists_is_lost_as_registered(spark, monkeypatch, rank):
     monkeypatch.setattr(pq_dedup, "PER_LIST", 20)
@@ -222,6 +248,23 @@ def test_what_repeats_without_a_name_goes_inside_articles_too(spark, holder):
     assert got == want | {500 + i: f"Follow us for more\nTitle {i}\nBody {i}\nTerms apply" for i in range(7)}
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><article class=card><p>Teaser</p></article><div class=content><p>" + "A long story. " * 9 + "</p></div>",
+     "Teaser\n" + ("A long story. " * 9).strip()),
+    ("<article><p>One</p><div class='side-by-side'><p>Two</p></div><div class='legal analysis'><p>Three</p></div>"
+     "<div id=share-price>Four</div><div class='share-buttons'>Tweet</div><div class=related>More</div></article>",
+     "One\nTwo\nThree\nFour"),
+    ("<main><p>Story</p><article class='post-reply'><p>First!</p></article><article><p>Second part</p></article></main>",
+     "Story\nSecond part"),
+    ("<div>Site name</div><article><p>A short but real article</p></article>", "A short but real article"),
+])
+def test_what_is_article_and_what_is_not(spark, page, text):
+    df = spark.createDataFrame([(1, "http://a.example/1", page, 7, "x")], "page_id int, url string, html string, _dull int, _HOST string")
+    row = site_tree.extract(df).first()
+    assert row["text"] == text and row["_dull"] == 7 and row["_HOST"] == "x"
+    assert site_tree.extract(df, out="html").first()["html"] == text
+
+
 def test_quality_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = QUERIES["op9_quality"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()

@@ -213,6 +213,17 @@ def test_chat_parts_join_to_the_dialogue_and_masks_cover_own_turns(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_speakers_that_look_alike_are_different_participants(spark):
+    df = spark.createDataFrame([(1, 0, "A B", "one"), (1, 1, "A_B", "two"), (1, 2, " A B ", "three"), (1, 3, "", "four"), (1, 4, None, "five")],
+                               "conv_id long, turn long, role string, text string")
+    rows = {r["perspective"]: r for r in chat.perspectives(df).collect()}
+    assert set(rows) == {"A B", "A_B", "unknown"}
+    said = {who: [r["rendered"][m["start"]:m["end"]] for m in r["masks"]] for who, r in rows.items()}
+    assert said == {"A B": ["one<|end|>\n", "three<|end|>\n"], "A_B": ["two<|end|>\n"], "unknown": ["four<|end|>\n", "five<|end|>\n"]}
+    assert rows["A B"]["rendered"].startswith("<|assistant|>\none<|end|>\n<|user name=A_B|>\ntwo")
+    assert rows["A_B"]["rendered"].startswith("<|user name=A_B|>\none<|end|>\n<|assistant|>\ntwo")
+
+
 def test_digests_of_bpe(spark):
     df = bpe.decode(bpe.encode(spark.createDataFrame([("ab",)], "text string"), vocabulary()), vocabulary())
     r = df.select(*bpe.digests(df)).first()
