@@ -96,7 +96,7 @@ def _secrets_sql() -> str:
         UNION ALL {_between('access', secrets.ACCESS)} UNION ALL {_between('hex', secrets.HEX)}
         UNION ALL SELECT r, kind, found, s, e FROM (
             SELECT *, CASE {bits} END AS bits, string_split(found, '') AS c FROM ({_between('entropy', _ENTROPY_RUN)}))
-        WHERE bits <= 8 AND NOT regexp_matches(found, '{rule.allowed}') AND round(list_max(list_transform(
+        WHERE NOT regexp_matches(found, '{rule.allowed}') AND round(list_max(list_transform(
             range(1, length(found) - 18), lambda i: list_entropy(c[i:i + 19]))), 9) >= bits),
     keyed AS (SELECT r, kind, s, list_position(['assign', 'access', 'hex', 'entropy'], kind) AS place,
         kind || ':' || s || ':' || e AS word FROM spans),
@@ -204,7 +204,8 @@ _SPEAKER = "CASE WHEN trim(role, ' ') IS NULL OR trim(role, ' ') = '' THEN 'unkn
         coalesce(text, '') AS said FROM conversations),
     p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
     x AS (SELECT t.*, p.perspective, '<|' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system'
-        THEN 'system' ELSE 'user name=' || regexp_replace(speaker, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') END || '|>' || chr(10) AS head, said || '<|end|>' || chr(10) AS body
+        THEN 'system' ELSE 'user name=' || regexp_replace(speaker, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') END || '|>' || chr(10) AS head,
+        said || '<|end|>' || chr(10) AS body
         FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
     y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part
         ORDER BY turn NULLS LAST, speaker, said ROWS UNBOUNDED PRECEDING) AS stop FROM x)

@@ -22,20 +22,22 @@ class EntropyRule:
 
     A run of at least ``window`` characters is a candidate. It belongs to the first class whose pattern it fits
     wholly, and is reported if some window of it has at least the class's bits of Shannon entropy per character.
-    Runs that fit ``allowed`` are left alone.
+    Runs that fit ``allowed`` are left alone. Every class can report: 20 random digits have 2.97 bits in the median, 26
+    random letters of one case 3.8 (32 of them are over the bound nine times in ten), long compound words up to 3.6.
     """
 
     window: int = 20
     run: str = "[A-Za-z0-9+/_=-]"
     classes: tuple[tuple[str, str, float], ...] = (
-        ("digits", "^[0-9]*$", 9.0),
+        ("digits", "^[0-9]*$", 2.9),
         ("hex", "^([0-9a-f]*|[0-9A-F]*)$", 2.9),
-        ("letters", "^([a-z]+|[A-Z]+|[A-Z]?[a-z]+)$", 9.0),
+        ("letters", "^([a-z]+|[A-Z]+|[A-Z]?[a-z]+)$", 3.7),
         ("base64", ".*", 3.6),
     )
     # uuids, paths and words joined by dashes, underscores or slashes, runs of one mark, documented sample keys
-    allowed: str = ("^([0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[/_=-]*([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4})"
-                    "([/_=-]+([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4}))*[/_=-]*|.*EXAMPLE.*|[+/_=-]*)$")
+    allowed: str = ("^([0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|"
+                    "([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4})?([/_=-]+([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4}))+[/_=-]*|"
+                    "([A-Za-z][a-z]*|[A-Z]+)[/_=-]+|.*EXAMPLE.*|[+/_=-]*)$")
 
 
 DEFAULT = EntropyRule()
@@ -64,30 +66,42 @@ def _plogp(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n)).otherwise(0.0)
 
 
+def _with(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once: inside a lambda, Spark computes a repeated expression every time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def most_entropy(run: Column, window: int) -> Column:
     """Most Shannon entropy (bits per character) of any window of a run.
 
-    One step moves the window by a character: only the counts of the one that leaves and the one that enters change,
-    and with them the sum of n·log2 n over the characters' counts n, from which the entropy follows.
+    The counts of the window's characters, one slot per different character of the run, go from step to step. A step
+    moves the window by a character: the counts of the one that leaves and the one that enters change by one, and with
+    them the sum of n·log2 n over all counts n, from which the entropy follows.
     """
-    chars = F.split(run, "")
-    first = F.slice(chars, 1, window)
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0),
-                        lambda acc, c: acc + _plogp(F.size(F.filter(first, lambda x: x == c)).cast("double")))
-    start = F.struct(total.alias("sum"), total.alias("least"))
-
-    def move(acc: Column, i: Column) -> Column:
-        old, leaves, enters = F.slice(chars, i, window), F.get(chars, i - 1), F.get(chars, i + window - 1)
-        n_out = F.size(F.filter(old, lambda x: x == leaves)).cast("double")
-        n_in = F.size(F.filter(old, lambda x: x == enters)).cast("double")
-        moved = acc["sum"] - _plogp(n_out) + _plogp(n_out - 1) - _plogp(n_in) + _plogp(n_in + 1)
-        total = F.when(leaves == enters, acc["sum"]).otherwise(moved)
-        return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
-
-    steps = F.when(F.length(run) > window, F.sequence(F.lit(1), F.length(run) - window)).otherwise(
-        F.lit([]).cast("array<int>"))
-    return F.aggregate(steps, start, move,
-                       lambda acc: F.round(F.log2(F.lit(float(window))) - acc["least"] / window, 9))
+    def of(chars: Column) -> Column:
+        return _with(F.array_distinct(chars), lambda slots: _with(F.struct(
+            F.transform(chars, lambda c: F.array_position(slots, c).cast("int")).alias("codes"),
+            F.transform(slots, lambda s: F.size(F.filter(F.slice(chars, 1, window), lambda c: c == s))).alias("counts")), slide))
+
+    def slide(run: Column) -> Column:
+        total = F.aggregate(run["counts"], F.lit(0.0), lambda acc, n: acc + _plogp(n.cast("double")))
+        start = F.struct(total.alias("sum"), total.alias("least"), run["counts"].alias("counts"))
+
+        def move(acc: Column, i: Column) -> Column:
+            leaves, enters = F.get(run["codes"], i - 1), F.get(run["codes"], i + window - 1)
+            n_out = F.get(acc["counts"], leaves - 1).cast("double")
+            n_in = F.get(acc["counts"], enters - 1).cast("double")
+            moved = acc["sum"] - _plogp(n_out) + _plogp(n_out - 1) - _plogp(n_in) + _plogp(n_in + 1)
+            total = F.when(leaves == enters, acc["sum"]).otherwise(moved)
+            counts = F.transform(acc["counts"], lambda n, j: n - (j + 1 == leaves).cast("int") + (j + 1 == enters).cast("int"))
+            return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"), counts.alias("counts"))
+
+        last = F.size(run["codes"]) - window
+        steps = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.lit([]).cast("array<int>"))
+        return F.aggregate(steps, start, move,
+                           lambda acc: F.round(F.log2(F.lit(float(window))) - acc["least"] / window, 9))
+
+    return _with(F.split(run, ""), of)
 
 
 def _entropy_spans(text: Column, rule: EntropyRule) -> Column:
@@ -98,7 +112,7 @@ def _entropy_spans(text: Column, rule: EntropyRule) -> Column:
         bits = F.lit(rule.classes[-1][2])
         for _, pattern, least in reversed(rule.classes):
             bits = F.when(run.rlike(pattern), F.lit(least)).otherwise(bits)
-        return ~run.rlike(rule.allowed) & (bits <= 8.0) & (most_entropy(run, rule.window) >= bits)
+        return ~run.rlike(rule.allowed) & (most_entropy(run, rule.window) >= bits)
 
     return F.filter(candidates, suspicious)
 

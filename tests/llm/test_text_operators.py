@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import textwrap
 from collections import Counter
@@ -85,7 +86,7 @@ def _plain_secrets(text):
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         bits = next(b for _, p, b in rule.classes if re.search(p, m[0]))
         most = max(_entropy(m[0][i:i + 20]) for i in range(len(m[0]) - 19))
-        if bits <= 8 and not re.search(rule.allowed, m[0]) and round(most, 9) >= bits:
+        if not re.search(rule.allowed, m[0]) and round(most, 9) >= bits:
             out.append(("entropy", m.start(), m.end()))
     return sorted(out, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
 
@@ -96,9 +97,25 @@ SECRET_TEXTS = [
     "0123456789abcdef01234567 deadbeef " + "a" * 30, "x" + "0f" * 4000, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzQKEYab",
     "550e8400-e29b-41d4-a716-446655440000 some_long_identifier_name_here path/to/some/file/name/abc",
     "ToKeN = 'aaaaaa'\nsecret:\tabcdefg tokenK=abcdefgh tokеn=abcdefgh", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA==" * 3,
+    "qzjxkvwpmbhtgycdfrnlsoaeiu QZJXKVWPMBHTGYCDFRNLSOAEIU 83920174650918273645 00000000000000000000 abababababababababab",
+    "internationalizations Donaudampfschifffahrt pneumonoultramicroscopicsilicovolcanoconiosis -leading_words_and_more trailingwordswithmark-",
 ]
 
 
+def test_every_class_reports_and_words_stay(spark):
+    found = {r["doc_id"]: [x["found"] for x in r["secrets"] if x["kind"] == "entropy"] for r in secret_scan.scan(
+        spark.createDataFrame(list(enumerate(SECRET_TEXTS[-2:])), "doc_id int, text string")).collect()}
+    assert found[0] == SECRET_TEXTS[-2].split()[:3] and found[1] == []
+
+
+def test_sliding_entropy_equals_a_count_of_every_window(spark):
+    rng = random.Random(3)
+    runs = ["".join(rng.choices(a, k=n)) for a in ("01", "0123456789abcdef", "abcXYZ+/_=-09") for n in (20, 21, 45, 300)]
+    rows = spark.createDataFrame([(r,) for r in runs], "run string").select("run", secret_scan.most_entropy(F.col("run"), 20)).collect()
+    for run, most in rows:
+        assert most == pytest.approx(max(_entropy(run[i:i + 20]) for i in range(len(run) - 19)), abs=1e-8)
+
+
 def test_secrets_equal_a_plain_scan(spark):
     df = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id int, text string")
     for r in secret_scan.scan(df).collect():
