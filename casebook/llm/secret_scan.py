@@ -22,8 +22,8 @@ class EntropyRule:
 
     A run of at least ``window`` characters is a candidate. It belongs to the first class whose pattern it fits
     wholly, and is reported if some window of it has at least the class's bits of Shannon entropy per character.
-    Runs that fit ``allowed`` are left alone. Every class can report: 20 random digits have 2.97 bits in the median, 26
-    random letters of one case 3.8 (32 of them are over the bound nine times in ten), long compound words up to 3.6.
+    Runs that fit ``allowed`` are left alone. Every class can report: of random runs, 66 % of 20 digits, 71 % of 26
+    letters of one case and 84 % of 32 reach the bound; long compound words have up to 3.6 bits.
     """
 
     window: int = 20
