@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +90,41 @@ def test_near_copies_of_a_large_group_link_whatever_its_size(spark, share):
     assert {got[i] for i in range(n // share)} == {0} and len(set(got.values())) == n - n // share + 1
 
 
+def test_links_by_tf_idf_equal_all_pairs_with_exact_frequencies(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(64)]
+    texts = []
+    for i in range(60):  # half of the words from a passage of a fifth of the documents, then a few words differ or many do
+        own = [f"o{i}x{j}" for j in range(56)]
+        texts.append(" ".join(passage + own))
+        for edits in (1, 2, 3, 4):
+            copy = list(own)
+            for at in rng.sample(range(8, 52), edits):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(passage + copy))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(1500 - len(texts))]
+    words = neardup._Words()
+    sets = [dict(zip(*(x.tolist() for x in neardup.shingles(t, words)), strict=True)) for t in texts]
+    held = Counter(h for s in sets for h in s)
+    share = {h: n / (len(texts) + neardup.PRIOR_DOCS) for h, n in held.items()}
+
+    def classes(weight):
+        weighted = [{h: n * weight(h) for h, n in s.items()} for s in sets[:300]]
+        links = []
+        for i, a in enumerate(weighted):
+            for j, b in enumerate(weighted[:i]):
+                common = sum(min(w, b.get(h, 0)) for h, w in a.items())
+                if common >= 0.8 * (sum(a.values()) + sum(b.values()) - common):
+                    links.append((i, j))
+        return _components(300, links)
+
+    want = classes(lambda h: min(1, math.log(share[h]) / math.log(neardup.COMMON_SHARE)))
+    plain = classes(lambda h: 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(300)] == want and want != plain
+
+
 def test_near_duplicates_of_repeated_rows_null_keys_and_nothing(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (3, None), (None, "")], "doc_id long, text string")
