@@ -6,13 +6,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casebook.llm import curves, graph, neardup, pq_dedup, quality, site_tree
+from casebook.llm import curves, graph, neardup, pq_dedup, quality, site_tree, store
 from casebook.llm.queries import QUERIES
 
 
@@ -35,6 +36,20 @@ def test_components_of_a_chain_a_star_and_a_ring(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, **{200 + i: 200 for i in range(1, 9)}}
 
 
+def test_tables_noted_can_be_forgotten(spark):
+    with store.tables_noted() as own:
+        plain = store.written(spark.range(5), "noted")
+        dealt = store.in_buckets(spark.range(5), "noted_too", "id")
+    after = store.written(plain.union(dealt), "after")
+    names = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_noted")]
+    assert len(own) == 2 and after.count() == 10 and len(names()) == 1
+    for _ in range(2):
+        store.forget_paths(spark, own)
+    folder = store.shared_folder(spark)
+    left = [f.name for f in Path(folder.removeprefix("file:")).iterdir() if f.name.startswith("llm-noted")]
+    assert after.count() == 10 and not left and not names()
+
+
 def _texts():
     rng = random.Random(4)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 5, 40, 200]))] for _ in range(40)]
@@ -331,5 +346,8 @@ def test_pipeline_stages_do_their_work(spark):
             assert docs.where(r"text rlike '[0-9a-f]{24,}'").count() == 0 and docs.count() == before
         last = docs
     assert last.where("not round_trip").count() == 0
+    there = lambda: {f.name for f in Path(store.shared_folder(spark).removeprefix("file:")).glob("llm-*")}
+    before = there()
     run = corpus_pipeline.run(spark, folder)
+    assert [name.split("-")[1] for name in there() - before] == ["source_mix"]  # what the last stage reads, no more
     assert sorted(r["doc_id"] for r in run.collect()) == sorted(r["doc_id"] for r in last.collect())
