@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.geography import EARTH_RADIUS_KM, bearing_degrees, geohash, haversine_km
-from casebook.operators.sizing import pair_join
+from casebook.operators import sizing
+from casebook.operators.sizing import pair_join, shuffle_partitions
 
 
 def with_distance(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, name: str = "distance_km") -> DataFrame:
@@ -31,7 +35,9 @@ def within_distance(left: DataFrame, right: DataFrame, km: float, left_id: str,
 
     Points meet in cells: latitude bands at least ``km`` high, each cut into whole numbers of columns at least ``km``
     wide at the band's narrowest parallel. A left point looks in its own and the neighbouring bands and columns (around
-    the date line too), so each pair meets exactly once, in the cell of the right point.
+    the date line too), so each pair meets exactly once, in the cell of the right point. A small right table is
+    broadcast. The left points are spread over all shuffle partitions first: the pairs grow with the product of the
+    tables, which a left table of one file would leave to one task.
     """
     height = max(km / EARTH_RADIUS_KM * 180 / 3.141592653589793 * 1.000001, 1e-6)
     top = int(180 / height)
@@ -55,17 +61,28 @@ def within_distance(left: DataFrame, right: DataFrame, km: float, left_id: str,
     def placed(df, *columns):
         return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*columns)
 
+    def with_vector(df, side):
+        phi, theta = F.radians(f"lat{side}"), F.radians(f"lon{side}")
+        return df.withColumns({f"_x{side}": F.cos(phi) * F.cos(theta), f"_y{side}": F.cos(phi) * F.sin(theta),
+                               f"_z{side}": F.sin(phi)})
+
     own_band = band(F.col("lat2"))
     right = placed(right, F.col(right_id), F.col(lat).alias("lat2"), F.col(lon).alias("lon2"))
-    right = right.withColumn("_band", own_band).withColumn("_strip", strip(F.col("lon2"), n_columns(F.col("_band"))))
+    right = with_vector(right, 2).withColumn("_band", own_band).withColumn("_strip", strip(F.col("lon2"), n_columns(F.col("_band"))))
     left = placed(left, F.col(left_id), F.col(lat).alias("lat1"), F.col(lon).alias("lon1"))
+    left = with_vector(left, 1).repartition(shuffle_partitions(left))
     b = band(F.col("lat1"))
     left = left.withColumn("_band", F.explode(F.array_distinct(F.array(*[
         F.greatest(F.least(b + d, F.lit(top).cast("long")), F.lit(0).cast("long")) for d in (-1, 0, 1)]))))
     n = n_columns(F.col("_band"))
     s = strip(F.col("lon1"), n)
     left = left.withColumn("_strip", F.explode(F.array_distinct(F.array(*[F.pmod(s + d, n) for d in (-1, 0, 1)]))))
-    pairs = pair_join(left, right, ["_band", "_strip"])
+    cell = ["_band", "_strip"]
+    small = right.limit(sizing.BROADCAST_ROWS + 1).count() <= sizing.BROADCAST_ROWS
+    pairs = left.join(F.broadcast(right), cell) if small else pair_join(left, right, cell)
+    # Most points of neighbouring cells are too far apart: the product of the unit vectors tells it without a sine.
+    product = reduce(lambda a, b: a + b, [F.col(f"_{x}1") * F.col(f"_{x}2") for x in "xyz"])
+    pairs = pairs.filter(product >= math.cos(min(math.radians(height), math.pi)) - 1e-12)
     return (
         pairs.withColumn("distance_km", haversine_km("lat1", "lon1", "lat2", "lon2"))
         .filter(F.col("distance_km") <= km)

@@ -381,6 +381,14 @@ def test_pairs_within_a_distance_against_all_pairs(spark, km):
     assert [r[:2] for r in rows(got, "l", "r")] == expected
 
 
+def test_pairs_within_a_distance_are_spread_over_tasks(spark):
+    places = spark.range(0, 400, numPartitions=1).select(
+        "id", (F.col("id") % 20).cast("double").alias("latitude"), F.lit(5.0).alias("longitude"))
+    got = geo.within_distance(places.withColumnRenamed("id", "l"), places.withColumnRenamed("id", "r"), 50.0, "l", "r")
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert (sum(r["count"] for r in tasks), len(tasks)) == (20 * 20 * 20, 4)
+
+
 # ---- training
 
 def test_early_stopping_needs_no_more_rounds(spark):
