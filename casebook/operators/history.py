@@ -15,11 +15,13 @@ from casebook.functions.text import column
 from casebook.operators.eventlog import EventLog
 from casebook.operators.asof import latest_before
 from casebook.operators.rank import range_buckets, with_range_value
-from casebook.operators.sizing import hot_hashes, pair_join, split_hot
+from casebook.operators.sizing import hot_hashes, pair_join, shuffle_partitions, split_hot
 
 # Seconds in a day, and the time of something that has not happened.
 DAY = 86400
 NEVER = -999
+# Cases that meet their categories go to so many times the shuffle partitions.
+MEETING = 4
 
 
 # ---- aggregate columns
@@ -162,23 +164,32 @@ def pivot_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
                  hot: Mapping[int, int] | None = None) -> DataFrame:
     """Per case and time, for each category value: count, first and last time of the strictly earlier events.
 
-    Columns ``count_<v>``, ``first_time_<v>``, ``last_time_<v>`` and ``total``. Running sums over one row per case and
-    time stand in for a join of every event to all earlier ones. Without ``values`` one job collects them. Hot
-    cases (``hot``, from :func:`hot_hashes`) are cut into ranges that hand their sums on.
+    Columns ``count_<v>``, ``first_time_<v>``, ``last_time_<v>`` and ``total``. Running sums over a case's events stand in
+    for a join of every event to all earlier ones: what precedes the first event of a time is what happened strictly
+    before. A task sorts the events as they are, and the wide rows only pass through it. Without ``values`` one job
+    collects them. Hot cases (``hot``, from :func:`hot_hashes`) are summed up per time and cut into ranges that hand
+    their sums on.
     """
     hot = hot_hashes(events, log.key) if hot is None else hot
     values = _category_values(events, category) if values is None else values
+    large, rest = split_hot(events, log.key, hot) if hot else (None, events)
     time = F.col(log.time)
-    moment = {"total": (F.count("*"), F.sum)}
+    parts = {"total": (F.count("*"), F.sum)}
     for v in values:
         here = F.col(category) == F.lit(v)
-        moment[f"count_{v}"] = F.count_if(here), F.sum
-        moment[f"first_time_{v}"] = F.min(F.when(here, time)), F.min
-        moment[f"last_time_{v}"] = F.max(F.when(here, time)), F.max
-    fold = {c: f for c, (_, f) in moment.items()}
-    moments = events.groupBy(log.key, log.time).agg(*[a.alias(c) for c, (a, _) in moment.items()])
-    counts = [c for c, f in fold.items() if f is F.sum]
-    return _prior_of_all(moments, log, fold, hot, log.key).fillna(0, counts)
+        parts[f"count_{v}"] = F.count_if(here), F.sum
+        parts[f"first_time_{v}"] = F.min(F.when(here, time)), F.min
+        parts[f"last_time_{v}"] = F.max(F.when(here, time)), F.max
+    in_order = Window.partitionBy(log.key).orderBy(log.time)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    is_first = (F.row_number().over(in_order) == 1) | ~time.eqNullSafe(F.lag(log.time).over(in_order))
+    found = rest.select(log.key, log.time, *[a.over(earlier).alias(c) for c, (a, _) in parts.items()],
+                        is_first.alias("_is_first")).filter("_is_first").drop("_is_first")
+    fold = {c: f for c, (_, f) in parts.items()}
+    if hot:
+        moments = large.groupBy(log.key, log.time).agg(*[a.alias(c) for c, (a, _) in parts.items()])
+        found = _prior_in_ranges(moments, log, fold).unionByName(found)
+    return found.fillna(0, [c for c, f in fold.items() if f is F.sum])
 
 
 def _category_values(events: DataFrame, category: str, limit: int = 10_000) -> list:
@@ -236,29 +247,40 @@ def prior_counts(events: DataFrame, log: EventLog, category: str, values: Sequen
     Times are those of the case's events, or those of ``at`` (key and time). There is no list of categories: a moment
     meets the categories whose first event is earlier, which are the rows of the result, and a running sum per (case,
     category) over its events alone carries the counts to them. ``values`` restricts the categories; a null one does
-    not count. A hot case (``hot``, from :func:`hot_hashes`) meets its categories over salts, and the running sums go
-    in ranges of (case, category, time).
+    not count. The rows of a case are brought together once, which serves every step; their bytes tell little of the rows
+    that come of them, so the number of tasks is fixed. A hot case (``hot``, from :func:`hot_hashes`) meets its
+    categories over salts, and the running sums go in ranges of (case, category, time).
     """
     hot = hot_hashes(events, log.key) if hot is None else hot
     case, time = F.struct(log.key).alias("_case"), F.col(log.time)  # in a struct, null keys are equal
     changes = events.filter(F.col(category).isNotNull() & time.isNotNull())
     changes = changes if values is None else changes.filter(F.col(category).isin(list(values)))
-    changes = changes.groupBy(log.key, category, log.time).agg(F.count("*").alias("prior_count"))
-    firsts = changes.groupBy(case, category).agg(F.min(log.time).alias("_first"))
+    changes = changes.select(case, category, log.time)
+    changes = changes if hot else changes.repartition(MEETING * shuffle_partitions(events), "_case")
+    changes = changes.groupBy("_case", category, log.time).agg(F.count("*").alias("prior_count"))
+    firsts = changes.groupBy("_case", category).agg(F.min(log.time).alias("_first"))
     moments = (events if at is None else at).select(case, log.time).distinct()
     met = pair_join(moments, firsts, ["_case"]) if hot else moments.join(firsts, "_case")
-    asked = met.filter(time > F.col("_first")).select("_case", category, log.time, F.lit(0).alias("prior_count"),
+    asked = met.filter(time > F.col("_first")).select("_case", category, log.time, F.lit(0).cast("long").alias("prior_count"),
                                                       F.lit(True).alias("_asked"))
-    changed = changes.select(case, category, log.time, "prior_count", F.lit(False).alias("_asked"))
+    stacked = asked.unionByName(changes.withColumn("_asked", F.lit(False)))
     happened = F.when(F.col("prior_count") > 0, time)
-    line = EventLog("_line", log.time)
-    stacked = asked.unionByName(changed).groupBy(F.struct("_case", category).alias("_line"), log.time).agg(
-        F.sum("prior_count").alias("prior_count"), F.min(happened).alias("first_time"), F.max(happened).alias("last_time"),
-        F.max("_asked").alias("_asked"))
     fold = {"prior_count": F.sum, "first_time": F.min, "last_time": F.max}
-    prior = _prior_of_all(stacked, line, fold, hot, f"_line._case.{log.key}", "_asked")
-    return prior.filter("_asked").select(F.col(f"_line._case.{log.key}").alias(log.key), log.time,
-                                         F.col(f"_line.{category}").alias(category), *fold)
+    if hot:
+        line = EventLog("_line", log.time)
+        stacked = stacked.groupBy(F.struct("_case", category).alias("_line"), log.time).agg(
+            F.sum("prior_count").alias("prior_count"), F.min(happened).alias("first_time"),
+            F.max(happened).alias("last_time"), F.max("_asked").alias("_asked"))
+        prior = _prior_of_all(stacked, line, fold, hot, f"_line._case.{log.key}", "_asked")
+        return prior.filter("_asked").select(F.col(f"_line._case.{log.key}").alias(log.key), log.time,
+                                             F.col(f"_line.{category}").alias(category), *fold)
+    # what is asked at a time comes before what changes at it
+    earlier = Window.partitionBy("_case", category).orderBy(log.time, F.desc("_asked"))
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    prior = stacked.withColumns({"first_time": happened, "last_time": happened}).select(
+        F.col(f"_case.{log.key}").alias(log.key), log.time, category, "_asked",
+        *[f(c).over(earlier).alias(c) for c, f in fold.items()])
+    return prior.filter("_asked").drop("_asked")
 
 
 def as_of_rows(rows: DataFrame, counts: DataFrame, log: EventLog, hot: Mapping[int, int] | None = None) -> DataFrame:

@@ -492,6 +492,15 @@ def test_case_features_of_three_logs(spark, hot, request):
         assert "Exchange hashpartitioning(id" not in _plan(cases)  # the only shuffle of events is behind the written table
 
 
+def test_prior_counts_keep_no_wide_rows(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 5, "b")], "k int, t long, v string")
+    log = EventLog("k", "t")
+    assert "Aggregate" not in _plan(history.pivot_counts(df, log, "v", ["a", "b"], {}))
+    # the events, and the moments twice
+    plan = _plan(history.prior_counts(df, log, "v", hot={}))
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") - plan.count("ReusedExchange") <= 4, plan
+
+
 def test_row_model_table_both_ways(spark, everything_hot):
     events = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 9, "a"), (None, 1, "a"), (2, None, "a")], "id long, t long, c string")
     asked = spark.createDataFrame([(1, 4, 0), (1, 5, 0), (1, 9, 1), (1, 9, 2), (1, 12, 3), (2, 1, 4), (None, 3, 5), (1, None, 6)],
