@@ -399,6 +399,20 @@ def test_early_stopping_needs_no_more_rounds(spark):
     assert scores.count() == 60 and training.fold_r2(scores).filter("r2 > 0.9").count() == 2
 
 
+def test_training_tasks_do_not_grow_with_the_shuffle_partitions(spark, partitions, monkeypatch):
+    from catalog import models
+
+    rows = spark.range(40).selectExpr("id as reference_id", "1 as in_train", "id * 1.0D as response", "id as x")
+    monkeypatch.setattr(models, "_table", lambda *_: rows)
+    monkeypatch.setattr(models, "_models", {})
+    monkeypatch.setattr(training, "fit_folds", lambda *_, **options: options["partitions"])
+    found = []
+    for n in (3, 400):
+        partitions(n)
+        found.append(models._fitted(spark, f"made up {n}")[3])
+    assert found == [3, 2 * spark.sparkContext.defaultParallelism]
+
+
 def test_scores_of_a_feature_with_nulls(spark):
     df = spark.createDataFrame([(i, i % 2, None if i % 3 else 1.0, float(i % 3 == 0)) for i in range(40)],
                                "id long, f int, x double, y double")
