@@ -537,3 +537,25 @@ def test_prior_counts_at_given_times_and_with_null_keys(spark, hot, everything_h
     assert rows(history.prior_counts(events, log, "c", at=at, hot=hot)) == [
         (1, 6, "a", 1, 5, 5), (1, 6, "b", 1, 5, 5), (1, 20, "a", 2, 5, 9), (1, 20, "b", 1, 5, 5)]
     assert rows(history.prior_counts(events, log, "c", ["b"], hot)) == [(1, 9, "b", 1, 5, 5)]
+
+
+@pytest.mark.parametrize("n_events", [None, 10_000_000])
+def test_buckets_of_cases_grow_with_the_rows(spark, monkeypatch, n_events):
+    from casebook.operators import sizing
+
+    made, bucketed = [], model_table.bucketed
+    monkeypatch.setattr(model_table, "bucketed", lambda *args: made.append(bucketed(*args)) or made[-1])
+    monkeypatch.setattr(sizing, "BUCKET_ROWS", 1 if n_events is None else 500_000)
+    logs = _logs(spark)
+    before = spark.conf.get("spark.sql.execution.useObjectHashAggregateExec")
+    cases = model_table.case_features(*logs, types=["web"], hot={}, n_events=n_events)
+    rows = sum(log.count() for log, _ in logs[:3])
+    wanted = 4 * -(-rows // 4) if n_events is None else 20
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {_table_name(made[0])}").collect()}
+    assert int(described["Num Buckets"]) == wanted
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == before
+    assert {r["id"] for r in cases.collect()} == {1, 2, 3}
+
+
+def _table_name(df):
+    return next(word for file in df.inputFiles() for word in file.split("/") if word.startswith("bucketed_"))
