@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import time
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from casebook.functions import geography
 from casebook.functions.text import leading_digit, word_count
 from casebook.operators import (asof, assemble, clean, encode, evaluate, features, folds, geo, history, labels, profile,
-                                rank)
+                                rank, sizing)
 from casebook.operators.eventlog import EventLog
 from casebook.plans import model_table, training
 from casebook.plans.trees import Trees
@@ -413,6 +415,92 @@ def test_training_tasks_do_not_grow_with_the_shuffle_partitions(spark, partition
     assert found == [3, 2 * spark.sparkContext.defaultParallelism]
 
 
+def _boosting_table(spark):
+    return spark.range(90).selectExpr("id", "id % 3 AS f", "double(id % 7) AS x", "double(id % 11) AS z", "double(id % 7) AS y")
+
+
+def test_folds_of_a_large_table_are_fitted_one_by_one(spark, monkeypatch):
+    df, running, most, fit = _boosting_table(spark), [], [], training.GBTRegressor.fit
+
+    def counted(self, *args):
+        running.append(1)
+        most.append(len(running))
+        try:
+            return fit(self, *args)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(training.GBTRegressor, "fit", counted)
+    together = training.fit_folds(df, ["x", "z"], "y", "f", k=3, max_iter=3)
+    del most[:]
+    monkeypatch.setattr(training, "ROWS_AT_ONCE", 100)
+    alone = training.fit_folds(df, ["x", "z"], "y", "f", k=3, max_iter=3)
+    assert most == [1, 1, 1]
+    assert [alone[i].toDebugString.split("\n", 1)[1] for i in range(3)] == [
+        together[i].toDebugString.split("\n", 1)[1] for i in range(3)]
+
+
+def test_folds_at_once_fall_with_the_rows():
+    assert [training.folds_at_once(n, 5) for n in (0, 1_000, 2_000_000, 4_000_000, 30_000_000)] == [5, 5, 2, 1, 1]
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("write", [sizing.materialise, lambda df: sizing.bucketed(df, "k")])
+def test_written_tables_leave_no_shuffle_files(spark, write):
+    before = _shuffle_files(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    table = write(spark.range(1000).selectExpr("id % 50 AS k").groupBy("k").count())
+    for _ in range(100):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert (table.count(), left, spark.conf.get(name)) == (50, set(), setting)
+
+
+def test_noted_tables_can_be_deleted(spark):
+    with sizing.tables_noted() as noted:
+        sizing.materialise(spark.range(5))
+        name = sizing.bucketed(spark.range(5), "id").inputFiles()[0].rsplit("/", 2)[-2]
+    kept = sizing.materialise(spark.range(7))
+    assert len(noted) == 2 and all(os.path.isdir(path) for path in noted) and spark.catalog.tableExists(name)
+    sizing.forget(spark, noted)
+    assert not any(os.path.exists(path) for path in noted) and not spark.catalog.tableExists(name)
+    sizing.forget(spark, noted)
+    assert kept.count() == 7
+
+
+def test_the_model_table_leaves_nothing_but_itself(spark, folder, monkeypatch):
+    from catalog import models
+
+    monkeypatch.setattr(models, "_tables", {})
+    before = set(os.listdir(sizing.shared_folder(spark)))
+    table = models._table(spark, folder)
+    new = set(os.listdir(sizing.shared_folder(spark))) - before
+    assert new == {table.inputFiles()[0].rsplit("/", 2)[-2]}
+
+
+def test_only_lines_up_to_the_decision_move_on(spark, folder, monkeypatch):
+    from catalog import feature_tables
+
+    class Seen(Exception):
+        pass
+
+    def seen(status, milestones, comments, decisions, *_):
+        late = [log.join(decisions, "reference_id", "left").filter(
+            "decision_time IS NULL OR seconds_since_case_start > decision_time").count() for log, _ in (status, milestones)]
+        raise Seen(late, status[0].count() > 0 and milestones[0].count() > 0)
+
+    monkeypatch.setattr(feature_tables.model, "case_features", seen)
+    with pytest.raises(Seen) as found:
+        feature_tables.model_rows(spark, folder)
+    assert found.value.args == ([0, 0], True)
+
+
 def test_scores_of_a_feature_with_nulls(spark):
     df = spark.createDataFrame([(i, i % 2, None if i % 3 else 1.0, float(i % 3 == 0)) for i in range(40)],
                                "id long, f int, x double, y double")
