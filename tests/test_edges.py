@@ -139,6 +139,18 @@ def test_many_encodings_out_of_fold_do_not_see_the_own_fold(spark):
     assert found[1]["mean_response_rate_d"] == 0.0 and found[5]["mean_response_rate_d"] == 0.5
 
 
+def test_packed_encodings_add_up_folds_per_value_not_per_row(spark):
+    df = sizing.materialise(spark.createDataFrame(
+        [(1, "a", 1.0, 0), (2, "a", 3.0, 1), (3, "a", None, 1), (4, "a", 5.0, None), (5, "b", 0.0, 0), (6, None, 2.0, 1)],
+        "id long, c string, y double, f int"))
+    got = encode.encode_packed(df, "id", "y", {"c": "c"}, {"c": "c"}, {"c": "c"}, "f")
+    assert rows(got.select("id", "label_encoded_c", "mean_response_rate_c", "is_in_escalated_c")) == [
+        (1, 1, 4.0, 1), (2, 1, 3.0, 1), (3, 1, 3.0, 1), (4, 1, 3.0, 1), (5, 2, None, 0), (6, None, None, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    assert not any("lambda" in line for line in plan[:joins[1]]) and any("lambda" in line for line in plan)
+
+
 # ---- history
 
 def events(spark, data):
@@ -501,6 +513,20 @@ def test_only_lines_up_to_the_decision_move_on(spark, folder, monkeypatch):
     assert found.value.args == ([0, 0], True)
 
 
+def test_vectors_are_planned_without_methods_too_large_to_compile(spark, monkeypatch):
+    df, found = _boosting_table(spark), []
+    limit, persist = "spark.sql.codegen.hugeMethodLimit", type(df).persist
+    before = spark.conf.get(limit)
+
+    def seen(self, *args):
+        found.append(spark.conf.get(limit))
+        return persist(self, *args)
+
+    monkeypatch.setattr(type(df), "persist", seen)
+    training.fit_folds(df, ["x"], "y", "f", k=3, max_iter=1)
+    assert (found, spark.conf.get(limit)) == (["8000"], before)
+
+
 def test_scores_of_a_feature_with_nulls(spark):
     df = spark.createDataFrame([(i, i % 2, None if i % 3 else 1.0, float(i % 3 == 0)) for i in range(40)],
                                "id long, f int, x double, y double")
